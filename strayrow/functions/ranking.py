@@ -134,8 +134,8 @@ def lookup_steps(
 ) -> DataFrame:
     """Add ``out``: the value of the last step whose score is not above the row's score.
 
-    The step table is a two-array scalar subquery; the search is a chain of comparisons that
-    halves the range, all inside code generation.
+    The steps are two arrays in scalar subqueries over a local relation; a binary search over
+    them is one expression, so filters on ``out`` can be pushed down without growing.
     """
     if not steps:
         return df.withColumn(out, F.lit(None).cast("double"))
@@ -147,19 +147,20 @@ def lookup_steps(
             }
         )
     )
+    starts, levels = F.col("_starts"), F.col("_levels")
     value = F.col(score)
-    found = df.withColumns({c: table.select(c[1:]).scalar() for c in ("_starts", "_levels")})
-    found = found.withColumn("_step", F.lit(0))
-    span = 1 << (len(steps).bit_length() - 1)
-    while span:
-        probe = F.get("_starts", F.col("_step") + F.lit(span - 1))
-        found = found.withColumn(
-            "_step", F.col("_step") + F.when(probe <= value, F.lit(span)).otherwise(0)
-        )
-        span //= 2
-    level = F.get("_levels", F.greatest(F.col("_step") - 1, F.lit(0)))
-    return found.withColumn(out, F.when(value.isNotNull(), level)).drop(
-        "_starts", "_levels", "_step"
+    spans = [1 << i for i in reversed(range(len(steps).bit_length()))]
+    # Number of steps that start at or below the value, found bit by bit.
+    reached = F.reduce(
+        F.array(*[F.lit(s) for s in spans]),
+        F.lit(0),
+        lambda at, span: at + F.when(F.get(starts, at + span - 1) <= value, span).otherwise(0),
+    )
+    level = F.get(levels, F.greatest(reached - 1, F.lit(0)))
+    return (
+        df.withColumns({c: table.select(c[1:]).scalar() for c in ("_starts", "_levels")})
+        .withColumn(out, F.when(value.isNotNull(), level))
+        .drop("_starts", "_levels")
     )
 
 

@@ -15,7 +15,7 @@ SALTS = 256
 def attach(
     rows: DataFrame,
     groups: DataFrame,
-    key: str,
+    key: str | list[str],
     values: list[str],
     weight: str,
     broadcast_rows: int = BROADCAST_ROWS,
@@ -27,32 +27,32 @@ def attach(
     is joined by shuffle, where rows already served go to salted empty keys instead of one
     hot partition.
     """
-    slim = groups.select(col(key), *[col(v) for v in values], col(weight).alias("_weight"))
+    keys = [key] if isinstance(key, str) else key
+    slim = groups.select(*map(col, keys), *map(col, values), col(weight).alias("_weight"))
     size = slim.agg(F.count(F.lit(1)).alias("n"), F.sum("_weight").alias("rows")).first()
     if size["n"] <= broadcast_rows:
-        return rows.join(F.broadcast(slim.drop("_weight")), key, "left")
+        return rows.join(F.broadcast(slim.drop("_weight")), keys, "left")
 
-    hot_limit = size["rows"] / HOT_SHARE
-    hot = slim.where(F.col("_weight") > hot_limit).select(
-        col(key), F.lit(True).alias("_hot"), *[col(v).alias(f"_hot_{v}") for v in values]
+    is_hot = F.col("_weight") > size["rows"] / HOT_SHARE
+    hot = slim.where(is_hot).select(
+        *map(col, keys), F.lit(True).alias("_hot"), *[col(v).alias(f"_hot_{v}") for v in values]
     )
-    cold = slim.where(F.col("_weight") <= hot_limit).select(
-        col(key), F.lit(0).alias("_salt"), *[col(v) for v in values]
+    cold = slim.where(~is_hot).select(
+        *map(col, keys), F.lit(0).alias("_salt"), *map(col, values)
     )
-    served = F.col("_hot").isNotNull() | col(key).isNull()
-    varied = [f.name for f in rows.schema.fields if f.name != key and role_of(f.dataType) != "other"]
+    served = F.col("_hot").isNotNull()
+    for k in keys:
+        served = served | col(k).isNull()
+    varied = [f.name for f in rows.schema.fields if role_of(f.dataType) != "other"]
     spread = 1 + F.pmod(
-        F.xxhash64(F.spark_partition_id(), *[col(c) for c in varied]), F.lit(SALTS)
+        F.xxhash64(F.spark_partition_id(), *map(col, varied)), F.lit(SALTS)
     )
     joined = (
-        rows.join(F.broadcast(hot), key, "left")
+        rows.join(F.broadcast(hot), keys, "left")
         .withColumn("_salt", F.when(served, spread).otherwise(0).cast("int"))
-        .join(cold, [key, "_salt"], "left")
+        .join(cold, [*keys, "_salt"], "left")
     )
     return joined.select(
-        *[col(c) for c in rows.columns],
-        *[
-            F.when(F.col("_hot"), col(f"_hot_{v}")).otherwise(col(v)).alias(v)
-            for v in values
-        ],
+        *map(col, rows.columns),
+        *[F.when(F.col("_hot"), col(f"_hot_{v}")).otherwise(col(v)).alias(v) for v in values],
     )

@@ -5,18 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Upper ends of the tiers, in percent, and their order.
-TIER_ORDER = {"LOW": 0, "MEDIUM": 1, "HIGH": 2, "CRITICAL": 3}
+# The tiers in order and their upper ends in percent.
+TIER_ENDS = {"LOW": 50, "MEDIUM": 70, "HIGH": 90, "CRITICAL": 100}
+TIER_ORDER = {tier: number for number, tier in enumerate(TIER_ENDS)}
 
 
 def risk_tier(probability: Column) -> Column:
     """[0,50] LOW, (50,70] MEDIUM, (70,90] HIGH, (90,100] CRITICAL, null otherwise."""
-    return (
-        F.when((probability >= 0) & (probability <= 50), "LOW")
-        .when((probability > 50) & (probability <= 70), "MEDIUM")
-        .when((probability > 70) & (probability <= 90), "HIGH")
-        .when((probability > 90) & (probability <= 100), "CRITICAL")
-    )
+    tier = F.when(probability < 0, F.lit(None))
+    for name, end in TIER_ENDS.items():
+        tier = tier.when(probability <= end, name)
+    return tier
+
+
+def tier_of_score(score: Column, steps: list[tuple[float, float]]) -> Column:
+    """The tier of a score, from the probability steps: three comparisons with the score.
+
+    The probability never falls as the score rises, so each tier starts at one score. A filter
+    on the tier becomes a filter on the score and needs no probability.
+    """
+    tier = F.when(score.isNull(), F.lit(None))
+    lower = {name: end for name, end in zip(list(TIER_ENDS)[1:], TIER_ENDS.values())}
+    for name, above in reversed(lower.items()):
+        start = next((s for s, p in steps if p > above), None)
+        if start is not None:
+            tier = tier.when(score >= F.lit(start), name)
+    return tier.otherwise("LOW")
 
 
 def tier_order(tier: Column) -> Column:

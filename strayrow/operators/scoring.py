@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strayrow.functions.ranking import lookup_steps
-from strayrow.functions.tiers import TIER_ORDER, risk_tier
+from strayrow.functions.tiers import TIER_ORDER, tier_of_score
 
 
 def finish(
@@ -17,7 +17,7 @@ def finish(
         "anomaly_score", score
     )
     return lookup_steps(scored, "anomaly_score", steps, "anomaly_probability").withColumn(
-        "risk_tier", risk_tier(F.col("anomaly_probability"))
+        "risk_tier", tier_of_score(F.col("anomaly_score"), steps)
     )
 
 

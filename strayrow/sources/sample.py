@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +62,7 @@ def add_sample_columns(ids: DataFrame, key: str, rows: int, seed: int) -> DataFr
             "Feature_2"
         ),
         _normal(key, seed * 10 + 9, 50, 10).alias("Feature_3"),
-        F.timestampadd("HOUR", F.col(key), F.lit("2024-01-01").cast("timestamp")).alias("Date"),
+        F.timestamp_add("HOUR", F.col(key), F.lit("2024-01-01").cast("timestamp")).alias("Date"),
         planted.alias("planted"),
     )
 
