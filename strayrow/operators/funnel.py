@@ -7,7 +7,7 @@ one the score quantile, one counts per group; the group table is then attached b
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,11 +40,15 @@ class Settings:
 
 @dataclass
 class Funnel:
-    """``rows`` with the counts and tiers, one pinned row per group, and the cut-off score."""
+    """``rows`` with the counts and tiers, one pinned row per group, and the cut-off score.
+
+    ``wide`` are the same rows with every group value, also those that no stage uses.
+    """
 
     rows: DataFrame
-    groups: DataFrame | None
-    group: str | None
+    wide: DataFrame
+    groups: DataFrame
+    group: str
     settings: Settings
     score_cut: float | None
     by_frequency: bool
@@ -177,12 +181,13 @@ def audit_funnel(
     if wanted and by_metrics:
         rows = rows.withColumn("audit_tier", _audit_tier(settings.variant, final))
     helpers = ["flagged_rows", "severe_rows"]
-    funnel = Funnel(rows, groups, group, settings, cut, wanted, by_metrics, severe, final)
     if not wanted:
         helpers.append("critical_day_count")
     if not by_metrics:
         helpers.append("anomalous_metric_count")
-    return replace(funnel, rows=rows.drop(*helpers))
+    return Funnel(
+        rows.drop(*helpers), rows, groups, group, settings, cut, wanted, by_metrics, severe, final
+    )
 
 
 def _audit_tier(variant: str, final: Column) -> Column:
@@ -206,24 +211,13 @@ def funnel_severity(funnel: Funnel) -> DataFrame:
     """Groups left after the severity stage."""
     if funnel.settings.variant == "A":
         return funnel.groups.where(funnel.severe).select(col(funnel.group))
-    return _joined(funnel).where(funnel.severe).select(col(funnel.group)).distinct()
+    return funnel.wide.where(funnel.severe).select(col(funnel.group)).distinct()
 
 
 def funnel_final(funnel: Funnel) -> DataFrame:
     """Flagged rows that pass every stage."""
-    rows = _joined(funnel)
-    kept = rows.where((F.col("anomaly") == 1) & F.coalesce(funnel.final, F.lit(False)))
-    return kept.select(*[col(c) for c in funnel.rows.columns])
-
-
-def _joined(funnel: Funnel) -> DataFrame:
-    missing = ["flagged_rows", "severe_rows"]
-    missing += [
-        c
-        for c in ("critical_day_count", "anomalous_metric_count")
-        if c not in funnel.rows.columns
-    ]
-    return attach(funnel.rows, funnel.groups, funnel.group, missing, "group_rows")
+    passed = (F.col("anomaly") == 1) & F.coalesce(funnel.final, F.lit(False))
+    return funnel.wide.where(passed).select(*[col(c) for c in funnel.rows.columns])
 
 
 def tier_group_counts(funnel: Funnel) -> DataFrame:
@@ -250,7 +244,6 @@ def tier_group_counts(funnel: Funnel) -> DataFrame:
 
 def funnel_stages(funnel: Funnel) -> DataFrame:
     """Groups and flagged rows left after each stage, counted in one pass over the rows."""
-    rows = _joined(funnel)
     group, s = col(funnel.group), funnel.settings
     flagged = F.col("anomaly") == 1
     frequent = (F.col("critical_day_count") >= s.frequency) & (F.col("critical_day_count") > 0)
@@ -266,7 +259,7 @@ def funnel_stages(funnel: Funnel) -> DataFrame:
     if funnel.by_metrics:
         # Variant A counts every group of the final set, each of which has a flagged row.
         stages.append(("Multi-Metric Consensus", flagged & final, flagged & final))
-    counted = rows.agg(
+    counted = funnel.wide.agg(
         *[F.count_distinct(F.when(g, group)).alias(f"g{i}") for i, (_, g, _) in enumerate(stages)],
         *[F.count_if(r).alias(f"r{i}") for i, (_, _, r) in enumerate(stages)],
     )
