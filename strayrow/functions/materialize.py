@@ -37,3 +37,10 @@ def pin(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def pin_table(df: DataFrame, name: str = "table") -> DataFrame:
+    """The same as a Parquet table, for wide rows that later passes read a few columns of."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

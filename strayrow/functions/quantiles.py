@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 1_000_000
+SMALL_ROWS = 500_000
 _MAX_DISTINCT = 20_000
 _ACCURACY = 10_000
 _MAX_PASSES = 12

@@ -27,8 +27,8 @@ TREE_ROWS = 256
 SEED = 42
 
 _EULER = 0.5772156649015329
-_POOL_PER_TREE_ROW = 200
-_CHUNK = 2048
+_POOL_PER_TREE_ROW = 64
+_CHUNK = 16_384
 _NODE_SCHEMA = (
     "tree int, node int, feature int, split double, left int, right int, path double"
 )
@@ -86,12 +86,18 @@ class Forest:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Outlier score in (0, 1]: two to the minus of the relative mean path length."""
-        at = np.broadcast_to(self.roots, (len(x), len(self.roots))).copy()
-        rows = np.arange(len(x))[:, None]
-        for _ in range(self.depth):
-            goes_left = x[rows, np.maximum(self.feature[at], 0)] <= self.split[at]
-            at = np.where(goes_left, self.left[at], self.right[at])
-        mean_path = self.path[at].mean(axis=1)
+        rows, width = x.shape
+        values, start = np.ascontiguousarray(x).ravel(), np.arange(rows) * width
+        tested = np.maximum(self.feature, 0)
+        children = np.column_stack([self.right, self.left]).ravel()
+        path = np.zeros(rows)
+        for root in self.roots:
+            at = np.full(rows, root)
+            for _ in range(self.depth):
+                goes_left = values.take(start + tested.take(at)) <= self.split.take(at)
+                at = children.take(2 * at + goes_left)
+            path += self.path.take(at)
+        mean_path = path / len(self.roots)
         return np.exp2(-mean_path / max(float(average_path(self.tree_rows)), 1e-12))
 
 
@@ -105,7 +111,8 @@ def fit_forest(
     names = prepared.names
     vectors = prepared.vectors(unit_hash(key, seed).alias("u"))
     # The pool is a uniform sample far larger than a tree's share of it, and bounded.
-    pool = pin(sample_rows(vectors, tree_rows * _POOL_PER_TREE_ROW, ["u"], seed))
+    pool_size = tree_rows * _POOL_PER_TREE_ROW
+    pool = pin(sample_rows(vectors, pool_size, ["u"], seed, prepared.n))
     pool_rows = pool.count()
     if pool_rows == 0:
         raise ValueError("no rows to fit")
@@ -122,18 +129,21 @@ def fit_forest(
         return nodes.assign(tree=tree)[[f.split()[0] for f in _NODE_SCHEMA.split(", ")]]
 
     chosen = drawn.where(F.col("place") < rate) if rate < 1 else drawn
-    nodes = chosen.groupBy("tree").applyInPandas(build, _NODE_SCHEMA).toPandas()
+    # Few rows but much work per tree: spread the trees, whatever the size of their rows.
+    tasks = min(trees, pool.sparkSession.sparkContext.defaultParallelism)
+    spread = chosen.repartition(tasks, "tree")
+    nodes = spread.groupBy("tree").applyInPandas(build, _NODE_SCHEMA).toPandas()
     nodes = nodes.sort_values(["tree", "node"], ignore_index=True)
     sizes = nodes.groupby("tree").size()
     roots = np.concatenate([[0], np.cumsum(sizes.to_numpy())[:-1]])
     base = np.repeat(roots, sizes.to_numpy())
     return Forest(
-        nodes["feature"].to_numpy(np.int32),
+        nodes["feature"].to_numpy(np.int64),
         nodes["split"].to_numpy(float),
-        (nodes["left"].to_numpy() + base).astype(np.int32),
-        (nodes["right"].to_numpy() + base).astype(np.int32),
+        nodes["left"].to_numpy(np.int64) + base,
+        nodes["right"].to_numpy(np.int64) + base,
         nodes["path"].to_numpy(float),
-        roots.astype(np.int32),
+        roots,
         math.ceil(math.log2(max(size, 2))),
         size,
     )

@@ -51,6 +51,7 @@ class Funnel:
     group: str
     settings: Settings
     score_cut: float | None
+    has_date: bool
     by_frequency: bool
     by_metrics: bool
     severe: Column
@@ -140,10 +141,9 @@ def audit_funnel(
     cut = _score_quantile(df, settings.severity)
     severe_row = (F.col("anomaly") == 1) & _at_least(cut)
 
+    # One row per group; rows without a group form one too, for the stage counts only.
     groups = pin(
-        df.where(col(group).isNotNull())
-        .groupBy(col(group))
-        .agg(
+        df.groupBy(col(group)).agg(
             F.count(F.lit(1)).alias("group_rows"),
             F.count_if(F.col("anomaly") == 1).alias("flagged_rows"),
             F.count_if(severe_row).alias("severe_rows"),
@@ -151,18 +151,16 @@ def audit_funnel(
             F.sum(_metric_hits(moments)).alias("anomalous_metric_count"),
         )
     )
+    named = col(group).isNotNull()
     any_urgent = not groups.where(F.col("critical_day_count") > 0).isEmpty()
     wanted = any_urgent and (settings.variant == "B" or date is not None)
 
     frequent = F.lit(True)
     if wanted and (settings.variant == "A" or date is not None):
-        # A group without a single urgent row is never listed as frequent.
-        frequent = (F.col("critical_day_count") >= settings.frequency) & (
-            F.col("critical_day_count") > 0
-        )
+        frequent = named & _is_frequent(settings)
     consensus = F.lit(True)
     if by_metrics:
-        consensus = F.col("anomalous_metric_count") >= settings.metrics
+        consensus = named & (F.col("anomalous_metric_count") >= settings.metrics)
 
     if settings.variant == "A":
         severe = (F.col("severe_rows") > 0) & frequent
@@ -174,7 +172,7 @@ def audit_funnel(
         final = severe & consensus
 
     values = ["flagged_rows", "severe_rows", "critical_day_count", "anomalous_metric_count"]
-    rows = attach(df, groups, group, values, "group_rows").withColumns(
+    rows = attach(df, groups.where(named), group, values, "group_rows").withColumns(
         {v: F.coalesce(v, F.lit(0)) for v in values}
     )
     rows = rows.withColumns({f"{c}_zscore": _metric_z(c, moments) for c in moments})
@@ -186,7 +184,17 @@ def audit_funnel(
     if not by_metrics:
         helpers.append("anomalous_metric_count")
     return Funnel(
-        rows.drop(*helpers), rows, groups, group, settings, cut, wanted, by_metrics, severe, final
+        rows.drop(*helpers),
+        rows,
+        groups,
+        group,
+        settings,
+        cut,
+        date is not None,
+        wanted,
+        by_metrics,
+        severe,
+        final,
     )
 
 
@@ -210,7 +218,7 @@ def _audit_tier(variant: str, final: Column) -> Column:
 def funnel_severity(funnel: Funnel) -> DataFrame:
     """Groups left after the severity stage."""
     if funnel.settings.variant == "A":
-        return funnel.groups.where(funnel.severe).select(col(funnel.group))
+        return funnel.groups.where(col(funnel.group).isNotNull() & funnel.severe).select(col(funnel.group))
     return funnel.wide.where(funnel.severe).select(col(funnel.group)).distinct()
 
 
@@ -220,13 +228,18 @@ def funnel_final(funnel: Funnel) -> DataFrame:
     return funnel.wide.where(passed).select(*[col(c) for c in funnel.rows.columns])
 
 
+def _is_frequent(settings: Settings) -> Column:
+    # A group without a single urgent row is never listed as frequent.
+    days = F.col("critical_day_count")
+    return (days >= settings.frequency) & (days > 0)
+
+
 def tier_group_counts(funnel: Funnel) -> DataFrame:
     """Distinct groups per audit tier (all four kept) and the groups to audit per tier."""
-    tiers = funnel.rows.agg(
-        *[
-            F.count_distinct(F.when(F.col("audit_tier") == t, col(funnel.group))).alias(t)
-            for t in AUDIT_TIERS
-        ]
+    per_group = (
+        funnel.rows.where(col(funnel.group).isNotNull())
+        .groupBy(col(funnel.group))
+        .agg(*[F.max(F.when(F.col("audit_tier") == t, 1)).alias(t) for t in AUDIT_TIERS])
     )
     share = {AUDIT_TIERS[0]: 1.0, AUDIT_TIERS[1]: 0.5, AUDIT_TIERS[2]: 0.2, AUDIT_TIERS[3]: 0.0}
     listed = F.array(
@@ -239,29 +252,36 @@ def tier_group_counts(funnel: Funnel) -> DataFrame:
             for t in AUDIT_TIERS
         ]
     )
-    return tiers.select(F.inline(listed))
+    return per_group.agg(*[F.count(t).alias(t) for t in AUDIT_TIERS]).select(F.inline(listed))
 
 
 def funnel_stages(funnel: Funnel) -> DataFrame:
-    """Groups and flagged rows left after each stage, counted in one pass over the rows."""
-    group, s = col(funnel.group), funnel.settings
-    flagged = F.col("anomaly") == 1
-    frequent = (F.col("critical_day_count") >= s.frequency) & (F.col("critical_day_count") > 0)
-    final = F.coalesce(funnel.final, F.lit(False))
-    if s.variant == "A":
-        severe_rows = flagged & _at_least(funnel.score_cut) & funnel.severe
-    else:
-        severe_rows = funnel.severe
-    stages = [("Initial", flagged, flagged)]
+    """Groups and flagged rows left after each stage, from the group table alone.
+
+    Rows without a group count as records as long as no stage has asked for group membership.
+    """
+    settings = funnel.settings
+    named = col(funnel.group).isNotNull()
+    frequent = named & _is_frequent(settings)
+    use_frequency = funnel.by_frequency and (settings.variant == "A" or funnel.has_date)
+    severe = frequent if use_frequency else F.lit(True)
+    consensus = named & (F.col("anomalous_metric_count") >= settings.metrics)
+    flagged, hits = F.col("flagged_rows"), F.col("severe_rows")
+
+    stages = [("Initial", F.lit(True), flagged, flagged > 0)]
     if funnel.by_frequency:
-        stages.append(("Frequency Filter", frequent, flagged & frequent))
-    stages.append(("Severity Filter", severe_rows, severe_rows))
+        stages.append(("Frequency Filter", frequent, flagged, F.lit(True)))
+    stages.append(("Severity Filter", severe, hits, hits > 0))
     if funnel.by_metrics:
-        # Variant A counts every group of the final set, each of which has a flagged row.
-        stages.append(("Multi-Metric Consensus", flagged & final, flagged & final))
-    counted = funnel.wide.agg(
-        *[F.count_distinct(F.when(g, group)).alias(f"g{i}") for i, (_, g, _) in enumerate(stages)],
-        *[F.count_if(r).alias(f"r{i}") for i, (_, _, r) in enumerate(stages)],
+        final = severe & consensus & (hits > 0)
+        left = flagged if settings.variant == "A" else hits
+        stages.append(("Multi-Metric Consensus", final, left, F.lit(True)))
+    counted = funnel.groups.agg(
+        *[F.count_if(named & kept & has).alias(f"g{i}") for i, (_, kept, _, has) in enumerate(stages)],
+        *[
+            F.coalesce(F.sum(F.when(kept, rows)), F.lit(0)).alias(f"r{i}")
+            for i, (_, kept, rows, _) in enumerate(stages)
+        ],
     )
     listed = F.array(
         *[
@@ -271,7 +291,7 @@ def funnel_stages(funnel: Funnel) -> DataFrame:
                 F.col(f"g{i}").alias("groups_remaining"),
                 F.col(f"r{i}").alias("records_remaining"),
             )
-            for i, (name, _, _) in enumerate(stages)
+            for i, (name, *_) in enumerate(stages)
         ]
     )
     return counted.select(F.inline(listed))

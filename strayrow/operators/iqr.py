@@ -72,5 +72,5 @@ def iqr_detect(df: DataFrame, features: list[str]) -> DataFrame:
     """Flag rows outside any fence and score them by how far outside they are."""
     fences = fit_fences(df, features)
     score = distance(fences)
-    steps = score_distribution(df, score).steps()
-    return finish(df, outside(fences), score, steps)
+    distribution = score_distribution(df, score)
+    return finish(df, outside(fences), score, distribution)

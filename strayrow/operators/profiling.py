@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from strayrow.functions.columns import ROLES, col, role_of
 
-DISTINCTS_PER_PASS = 10
+DISTINCTS_PER_PASS = 4
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -27,8 +27,9 @@ def _countable(field: T.StructField) -> Column:
 def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """One row per column: type, role, total, distinct, nulls, null_pct.
 
-    One aggregation serves ten columns, since each exact distinct count multiplies the rows of
-    its pass; ``approximate`` needs one pass without a shuffle of values for all columns.
+    Each exact distinct count multiplies the rows of its pass, so four columns share one, which
+    reads these columns only; ``approximate`` counts all columns in a single pass and shuffles
+    sketches instead of values.
     """
     fields = df.schema.fields
     size = len(fields) if approximate else DISTINCTS_PER_PASS

@@ -165,4 +165,4 @@ def finish_model(scored: DataFrame, score: str, fitted: Fitted) -> DataFrame:
         "anomaly_score", normalized(F.col(score), fitted.low, fitted.high)
     ).drop(score)
     value = F.col("anomaly_score")
-    return finish(result, value > F.lit(fitted.threshold), value, fitted.distribution.steps())
+    return finish(result, value > F.lit(fitted.threshold), value, fitted.distribution)

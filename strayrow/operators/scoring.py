@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strayrow.functions.ranking import lookup_steps
+from strayrow.functions.ranking import ScoreDistribution, lookup_steps
 from strayrow.functions.tiers import TIER_ORDER, tier_of_score
 
 
 def finish(
-    df: DataFrame, flag: Column, score: Column, steps: list[tuple[float, float]]
+    df: DataFrame, flag: Column, score: Column, distribution: ScoreDistribution
 ) -> DataFrame:
     """Add anomaly, anomaly_score, anomaly_probability and risk_tier."""
+    steps = distribution.steps()
     scored = df.withColumn("anomaly", F.when(flag, 1).otherwise(0)).withColumn(
         "anomaly_score", score
     )
-    return lookup_steps(scored, "anomaly_score", steps, "anomaly_probability").withColumn(
-        "risk_tier", tier_of_score(F.col("anomaly_score"), steps)
+    ranked = lookup_steps(
+        scored, "anomaly_score", steps, "anomaly_probability", distribution.n
     )
+    return ranked.withColumn("risk_tier", tier_of_score(F.col("anomaly_score"), steps))
 
 
 def detect_metadata(

@@ -26,7 +26,7 @@ NU = 0.5
 SEED = 42
 
 WAVES = 512
-STEPS = 15
+STEPS = 10
 _PILOT_ROWS = 20_000
 _CHUNK = 4096
 
@@ -76,10 +76,11 @@ def _map_sum(vectors: DataFrame, waves: Waves, model: SvmModel | None) -> tuple[
         for batch in batches:
             for i in range(0, len(batch), _CHUNK):
                 z = maps.map(batch.iloc[i : i + _CHUNK].to_numpy(float))
+                counted = np.ones(len(z), np.float32)
                 if current is not None:
-                    z = z[z @ current.weights < current.offset]
-                total += z.sum(axis=0, dtype=float)
-                rows += len(z)
+                    counted = (z @ current.weights.astype(np.float32) < current.offset) * counted
+                total += counted @ z
+                rows += int(counted.sum())
         yield pd.DataFrame(
             {"component": np.arange(len(total) + 1), "amount": np.append(total, float(rows))}
         )
@@ -108,7 +109,8 @@ def fit_svm(
     names = prepared.names
     features = len(names)
     keyed = prepared.vectors(*[col(k) for k in key or []])
-    pilot = sample_rows(keyed, _PILOT_ROWS, key, seed).select(*names).toPandas().to_numpy(float)
+    pilot = sample_rows(keyed, _PILOT_ROWS, key, seed, prepared.n)
+    pilot = pilot.select(*names).toPandas().to_numpy(float)
     if not len(pilot):
         raise ValueError("no rows to fit")
     maps = Waves.draw(features, 1 / features, waves, seed)

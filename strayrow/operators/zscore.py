@@ -61,7 +61,7 @@ def zscore_detect(df: DataFrame, features: list[str], threshold: float = 3.0) ->
     """
     moments = column_moments(df, features)
     largest = _largest([z_expression(c, moments) for c in features])
-    steps = score_distribution(df, largest).steps()
+    distribution = score_distribution(df, largest)
     scored = zscore_max(df, features, moments)
     score = F.col("max_zscore")
-    return finish(scored, score > F.lit(float(threshold)), score, steps)
+    return finish(scored, score > F.lit(float(threshold)), score, distribution)

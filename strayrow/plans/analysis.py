@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from strayrow.functions.columns import default_features, detect_group_date
-from strayrow.functions.materialize import pin
+from strayrow.functions.materialize import pin_table
 from strayrow.operators.audit import Audit, prioritize
 from strayrow.operators.registry import detect
 from strayrow.operators.rollup import group_date_rollup
@@ -18,7 +18,7 @@ def roll_up_if_possible(df: DataFrame) -> DataFrame:
     group, date = detect_group_date(df)
     if group is None or date is None:
         return df
-    return pin(group_date_rollup(df, group, date, ordered=False))
+    return pin_table(group_date_rollup(df, group, date, ordered=False), "rollup")
 
 
 def analyse(

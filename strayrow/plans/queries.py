@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strayrow.functions import columns, sampling, tiers
-from strayrow.functions.materialize import new_path, pin
+from strayrow.functions.materialize import new_path, pin_table
 from strayrow.functions.ranking import percent_rank_avg
 from strayrow.operators import (
     audit,
@@ -66,7 +66,7 @@ def user_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     daily = rollup.group_date_rollup(events, *KEY, ordered=False)
     busy = F.when(F.col("event_count") >= 5, "busy").otherwise("quiet")
-    return pin(rounded(daily, "value_sum", digits=2).withColumn("activity", busy))
+    return pin_table(rounded(daily, "value_sum", digits=2).withColumn("activity", busy))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

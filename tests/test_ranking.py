@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from strayrow.functions import ranking
 from strayrow.functions.ranking import lookup_steps, percent_rank_avg, score_distribution
 from strayrow.functions.tiers import risk_tier, tier_counts, tier_of_score
 
@@ -28,14 +29,17 @@ CASES = {
 
 
 @pytest.mark.parametrize("case", CASES)
-@pytest.mark.parametrize("bucket_rows", [500_000, 40])
-def test_probability_equals_pandas(spark, case, bucket_rows):
+@pytest.mark.parametrize("bucket_rows, fast_rows", [(500_000, 2_000_000), (40, 0)])
+def test_probability_equals_pandas(spark, case, bucket_rows, fast_rows, monkeypatch):
+    monkeypatch.setattr(ranking, "FAST_LOOKUP_ROWS", fast_rows)
     values = CASES[case]
     found = percent_rank_avg(scores(spark, values), "s", "p", bucket_rows).orderBy("id").toPandas()
     assert (found["p"] == expected_rank(values)).all()
 
 
-def test_missing_scores_stay_missing(spark):
+@pytest.mark.parametrize("fast_rows", [2_000_000, 0])
+def test_missing_scores_stay_missing(spark, fast_rows, monkeypatch):
+    monkeypatch.setattr(ranking, "FAST_LOOKUP_ROWS", fast_rows)
     df = spark.createDataFrame([(1, 3.0), (2, None), (3, float("nan")), (4, 1.0)], "id int, s double")
     df = df.withColumn("s", F.when(~F.isnan("s"), F.col("s")))
     found = {r["id"]: r["p"] for r in percent_rank_avg(df, "s", "p").collect()}
@@ -70,7 +74,7 @@ def test_probability_does_not_fall_and_tiers_add_up(spark):
 def test_tier_by_score_equals_tier_by_probability(spark, case):
     df = scores(spark, CASES[case])
     steps = score_distribution(df, F.col("s")).steps()
-    both = lookup_steps(df, "s", steps, "p").select(
+    both = lookup_steps(df, "s", steps, "p", 0).select(
         risk_tier(F.col("p")).alias("a"), tier_of_score(F.col("s"), steps).alias("b")
     )
     assert both.where(~F.col("a").eqNullSafe(F.col("b"))).isEmpty()
