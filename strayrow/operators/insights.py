@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strayrow.functions.columns import col
+from strayrow.functions.columns import col, feature
 from strayrow.functions.quantiles import exact_quantiles
 from strayrow.functions.sampling import sample_rows
 
@@ -70,9 +70,9 @@ def feature_contrast(df: DataFrame, features: list[str]) -> DataFrame:
             expr
             for i, c in enumerate(features)
             for expr in (
-                F.avg(F.when(flagged, col(c))).cast("double").alias(f"a{i}"),
-                F.avg(F.when(F.col("anomaly") == 0, col(c))).cast("double").alias(f"n{i}"),
-                F.stddev_samp(F.when(flagged, col(c))).alias(f"s{i}"),
+                F.avg(F.when(flagged, feature(c))).alias(f"a{i}"),
+                F.avg(F.when(F.col("anomaly") == 0, feature(c))).alias(f"n{i}"),
+                F.stddev_samp(F.when(flagged, feature(c))).alias(f"s{i}"),
             )
         ]
     )

@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
+from strayrow.functions.materialize import pin_table
 from strayrow.functions.sampling import sample_rows
 from strayrow.operators.forest import isolation_forest
 from strayrow.operators.iqr import iqr_detect
@@ -49,8 +50,14 @@ def register_detector(name: str, detector: Detector) -> None:
 def ml_sample_policy(
     df: DataFrame, method: str, key: list[str] | None = None, limit: int = SAMPLE_ROWS
 ) -> DataFrame:
-    """All rows, or ``limit`` random ones for detectors that are sampled by default."""
-    return sample_rows(df, limit, key) if DETECTORS[method].sampled else df
+    """All rows, or ``limit`` random ones for detectors that are sampled by default.
+
+    The sample is written once: a detector passes over it many times.
+    """
+    if not DETECTORS[method].sampled:
+        return df
+    total = df.count()
+    return df if total <= limit else pin_table(sample_rows(df, limit, key, total=total), "sample")
 
 
 def detect(

@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strayrow.functions import columns, sampling, tiers
+from strayrow.functions import columns, ranking, sampling, tiers
 from strayrow.functions.materialize import new_path, pin_table
-from strayrow.functions.ranking import percent_rank_avg
 from strayrow.operators import (
     audit,
     forest,
@@ -219,15 +218,8 @@ def sensitivity_band(spark, sf_dir):
 def rollup_metric_rule(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     rules = rollup.metric_rules(lines, "l_orderkey", "l_shipdate")
-    builders = {"sum": F.sum, "avg": F.avg}
-    totals = lines.agg(
-        *[
-            (builders[r](c) if r in builders else F.lit(None)).cast("double").alias(c)
-            if r in builders
-            else F.max(F.lit(None).cast("double")).alias(c)
-            for c, r in rules.items()
-        ]
-    )
+    builders = {"sum": F.sum, "avg": F.avg, "first": lambda c: F.max(F.lit(None).cast("double"))}
+    totals = lines.agg(*[builders[r](c).cast("double").alias(c) for c, r in rules.items()])
     listed = F.array(
         *[
             F.struct(
@@ -383,17 +375,14 @@ def detector_registry(spark, sf_dir):
 
 def _ranked_events(spark, sf_dir):
     whole = table(spark, sf_dir, "events").select("event_id", F.rint("value").alias("whole_value"))
-    return percent_rank_avg(whole, "whole_value")
+    return ranking.percent_rank_avg(whole, "whole_value")
 
 
 @query
-def percent_rank(spark, sf_dir):
+def percent_rank_avg(spark, sf_dir):
     return _ranked_events(spark, sf_dir)
 
 
-QUERIES["percent_rank_avg"] = QUERIES.pop("percent_rank")
-
-
 @query
 def risk_tier(spark, sf_dir):
     tier = tiers.risk_tier(F.col("anomaly_probability"))

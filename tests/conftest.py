@@ -34,7 +34,3 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf():
     return "/root/testdata/sf0.001"
-
-
-def frame(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
