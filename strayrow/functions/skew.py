@@ -37,19 +37,21 @@ def attach(
     hot = slim.where(is_hot).select(
         *map(col, keys), F.lit(True).alias("_hot"), *[col(v).alias(f"_hot_{v}") for v in values]
     )
+    # The salt of a key is computed from the key: a constant would be folded out of the join.
+    salt_of_key = F.pmod(F.xxhash64(*map(col, keys)), F.lit(SALTS))
     cold = slim.where(~is_hot).select(
-        *map(col, keys), F.lit(0).alias("_salt"), *map(col, values)
+        *map(col, keys), salt_of_key.alias("_salt"), *map(col, values)
     )
     served = F.col("_hot").isNotNull()
     for k in keys:
         served = served | col(k).isNull()
     varied = [f.name for f in rows.schema.fields if role_of(f.dataType) != "other"]
-    spread = 1 + F.pmod(
+    spread = SALTS + F.pmod(
         F.xxhash64(F.spark_partition_id(), *map(col, varied)), F.lit(SALTS)
     )
     joined = (
         rows.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.when(served, spread).otherwise(0).cast("int"))
+        .withColumn("_salt", F.when(served, spread).otherwise(salt_of_key))
         .join(cold, [*keys, "_salt"], "left")
     )
     return joined.select(

@@ -6,6 +6,8 @@ from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
 
+from strayrow.functions.materialize import pin
+from strayrow.functions.skew import attach
 from strayrow.operators.insights import category_rates
 from strayrow.operators.iqr import iqr_detect
 from strayrow.operators.profiling import column_profile
@@ -43,6 +45,21 @@ def test_scans_read_only_what_is_needed(spark, sf):
     assert "Exchange SinglePartition" not in text
 
 
+def test_lookup_of_many_groups_salts_the_shuffle(spark, sf):
+    rows = events(spark, sf)
+    groups = pin(rows.groupBy("user_id").agg(F.count("*").alias("n")))
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    try:
+        text = plan(attach(rows, groups, "user_id", ["n"], "n", broadcast_rows=0))
+    finally:
+        spark.conf.set(setting, usual)
+    keys = re.findall(r"hashpartitioning\((.*?), \d+\)", text)
+    assert keys and all("user_id" in k and "_salt" in k for k in keys)
+    assert "Exchange" not in plan(attach(rows, groups, "user_id", ["n"], "n")).replace("BroadcastExchange", "")
+
+
 def test_rollup_combines_before_the_shuffle(spark, sf):
     daily = group_date_rollup(
         events(spark, sf).withColumn("day", F.to_date("ts")).select("user_id", "day", "value"),
