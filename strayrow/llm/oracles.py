@@ -1,0 +1,5 @@
+"""DuckDB SQL for the queries that SQL can express."""
+
+from __future__ import annotations
+
+SQL: dict[str, str] = {}
