@@ -104,14 +104,14 @@ BASE_RULES = (
     Rule("repeated_windows", lambda f: 100 * f.n_repeat_words > 50 * f.n_words),
 )
 #: Limits far from ordinary prose: a symbol for every fifth word, a third of capitals, words of
-#: two or fifteen letters on average, every third line a repetition.
+#: two or fifteen letters on average, more than every second line a repetition.
 RULES = (
     *BASE_RULES,
     Rule("symbols", lambda f: 100 * f.n_symbols > 20 * f.n_words),
     Rule("capitals", lambda f: 100 * f.n_capitals > 30 * f.word_chars),
     Rule("short_words", lambda f: f.word_chars < 2 * f.n_words),
     Rule("long_words", lambda f: f.word_chars > 15 * f.n_words),
-    Rule("repeated_lines", lambda f: 100 * f.n_dup_lines > 30 * len(f.lines)),
+    Rule("repeated_lines", lambda f: 100 * f.n_dup_lines > 50 * len(f.lines)),
 )
 
 
