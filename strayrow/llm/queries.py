@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strayrow.llm import licenses, quality
+from strayrow.functions.materialize import new_path
+from strayrow.llm import licenses, line_dedup, packing, quality, token_files
 from strayrow.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    token_files.write_tokens(
+        table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json")
+    )
+    read = token_files.read_tokens(spark, path)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
@@ -36,3 +53,20 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.cut_pieces(
+        table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")
+    )
+    packed = packing.pack_pieces(pieces.withColumn("ids", F.crc32("ids")))
+    return packed.select(
+        "doc_id", "piece", "start", "length", F.col("ids").alias("ids_crc32"), "sequence_id", "offset"
+    )
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), counts=True)
+    return cleaned.select("doc_id", "source", "text", "n_lines", "n_dropped")
