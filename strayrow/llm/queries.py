@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strayrow.functions.materialize import new_path
-from strayrow.llm import licenses, line_dedup, packing, quality, token_files
+from strayrow.llm import jaccard, licenses, line_dedup, packing, quality, token_files, topk, url_filters
 from strayrow.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,23 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: host, path, verdict
+URL_RULES = (
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+)
+
+
+@query
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rows = [F.struct(*map(F.lit, rule)) for rule in URL_RULES]
+    rules = spark.range(1).select(F.inline(F.array(*rows)).alias("host", "path", "verdict"))
+    return url_filters.judge_urls(pages, rules).drop("url")
+
+
 @query
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
@@ -50,6 +67,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, base_failed.alias("base_failed"), "kept")
 
 
+@query
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(
+        table(spark, sf_dir, "documents"), shingle=4, similarity=(85, 100)
+    )
+
+
+@query
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
 @query
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
