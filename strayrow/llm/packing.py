@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strayrow.functions.materialize import pin, pin_table
-from strayrow.llm.tokens import PieceEncoder
+from strayrow.llm.tokens import encoder
 
 SHARD = 16_384
 
@@ -49,7 +49,7 @@ def cut_pieces(
     step = 4 * length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer, blanks_count)
+        known = encoder(tokenizer, blanks_count)
         for batch in batches:
             owners, pieces, ids = [], [], []
 
@@ -68,7 +68,7 @@ def cut_pieces(
                 )
 
             held = 0
-            for k, got in enumerate(encoder.encode(batch.column(1).to_pylist())):
+            for k, got in enumerate(known.encode(batch.column(1))):
                 got += end
                 for n, at in enumerate(range(0, len(got), step)):
                     owners.append(k)

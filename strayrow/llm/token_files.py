@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strayrow.llm.tokens import PieceEncoder
+from strayrow.llm.tokens import encoder
 
 #: Ids in a word and bits of each, by selector; selector 0 is the escape.
 COUNTS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -58,10 +58,21 @@ def _fitting(widths: np.ndarray) -> np.ndarray:
         fits = window(int(size)) <= bits
         if k and not fits.any():
             break
-        chosen[fits] = k
+        np.copyto(chosen, np.uint8(k), where=fits)
     return chosen
 
 
+def _width(values: np.ndarray) -> np.ndarray:
+    """The least payload width that holds each value; 0 for 0."""
+    needed = np.zeros(61, np.uint8)
+    for bits in BITS:  # from wide to narrow
+        needed[1 : bits + 1] = bits
+    small = needed[[int(v).bit_length() for v in range(1 << 16)]]
+    if not values.size or int(values.max()) < 1 << 16:
+        return small[values.astype(np.uint16)]
+    return needed[np.minimum(np.frexp(values.astype(np.float64))[1], 60)]
+
+
 def encode_segment(ids: np.ndarray) -> bytes:
     """Pack ids (below 2^60) into words; see ``decode_segment``."""
     n = len(ids)
@@ -72,9 +83,7 @@ def encode_segment(ids: np.ndarray) -> bytes:
     values[:, :BLOCK] = flat.reshape(blocks, BLOCK)
     if n and int(flat.max()) >> 60:
         raise ValueError("ids must be below 2^60")
-    widths = np.zeros(values.shape, np.uint8)
-    for bits in sorted(set(BITS.tolist())):  # the least payload width that holds the id
-        widths[(widths == 0) & (values < np.uint64(1) << np.uint64(bits)) & (values > 0)] = bits
+    widths = _width(values)
     chosen = _fitting(widths)
     sizes = np.full(blocks, BLOCK)
     if blocks:
@@ -94,10 +103,14 @@ def encode_segment(ids: np.ndarray) -> bytes:
     else:
         selectors = np.zeros(0, np.uint8)
     words = selectors.astype(np.uint64) << np.uint64(60)
+    line = values.ravel()
     for k in np.unique(selectors):
         here = np.flatnonzero(selectors == k)
-        for j in range(COUNTS[k]):
-            words[here] |= values[rows[here], places[here] + j] << np.uint64(j * BITS[k])
+        at = rows[here] * values.shape[1] + places[here]
+        payload = line.take(at)
+        for j in range(1, COUNTS[k]):
+            payload |= line.take(at + j) << np.uint64(j * BITS[k])
+        words[here] |= payload
     offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=blocks))]) if n else np.zeros(1)
     return _HEAD.pack(_MAGIC, BLOCK, n, len(words)) + offsets.astype("<u4").tobytes() + words.astype("<u8").tobytes()
 
@@ -143,7 +156,7 @@ def write_tokens(
     end = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer, blanks_count)
+        known = encoder(tokenizer, blanks_count)
         part = TaskContext.get().partitionId()
         segment, before, held = 0, 0, 0
         owners: list[pa.Scalar] = []
@@ -167,7 +180,7 @@ def write_tokens(
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for owner, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
+            for owner, ids in zip(batch.column(0).to_pylist(), known.encode(batch.column(1))):
                 owners.append(owner)
                 pieces.append(ids + end)
                 held += len(pieces[-1]) // 4
