@@ -20,9 +20,10 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 REMEMBERED_LENGTH = 64
-CHUNK_BYTES = 24_000_000
+CHUNK_BYTES = 12_000_000
+RUN = 8_192
 
 _SPACES = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: White space beside a blank or line end, or at an end of the text.
@@ -97,13 +98,15 @@ class PieceEncoder:
         self.memory = _Memory()
 
     def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces in a row, and how many each has."""
-        found = self.tokenizer.encode_batch_fast(list(map(self._plain, pieces)), add_special_tokens=False)
-        flat, counts = array("I"), np.zeros(len(pieces), np.int64)
-        for k, e in enumerate(found):
-            counts[k] = len(e)
-            flat.extend(e.ids)
-        return np.array(flat, "<u4"), counts
+        """Ids of all pieces in a row, and how many each has; encoded in short runs, as the
+        library's results are large."""
+        flat, counts = array("I"), array("l")
+        for at in range(0, len(pieces), RUN):
+            texts = list(map(self._plain, pieces[at : at + RUN]))
+            for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                counts.append(len(found))
+                flat.extend(found.ids)
+        return np.array(flat, "<u4"), np.array(counts, np.int64)
 
     def _pieces(self, texts: pa.Array) -> pa.ListArray:
         """Where blanks count, a piece that has no blank before it is marked by a line end."""
@@ -142,6 +145,7 @@ class PieceEncoder:
         own = places[coded.indices.to_numpy()]
         sizes = counts[own]
         data = gather(flat, starts[own], sizes).tobytes()
+        del flat, starts, counts, own
         memory.learn(missed, new_flat, new_counts)
         before = np.concatenate([[0], np.cumsum(sizes)])
         offsets = cut.offsets.to_numpy()
@@ -158,6 +162,7 @@ class PieceEncoder:
             held = np.searchsorted(np.cumsum(sizes[at:]), CHUNK_BYTES, "right")
             end = at + max(1, int(held))
             ids = self._chunk(texts.slice(at, end - at))
+            pa.default_memory_pool().release_unused()
             yield from (i if n else b"" for i, n in zip(ids, sizes[at:end].tolist()))
             at = end
 
