@@ -30,21 +30,22 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strayrow.llm.tokens import gather
 
 SPACE = "▁"
 LONGEST = 48
-BLOCK_CHARS = 48_000_000
+BLOCK_BYTES = 48_000_000
 PENALTY = 10.0
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -231,60 +232,72 @@ def segment_units(units: DataFrame, table: PieceTable) -> DataFrame:
 
 
 class _Block:
-    """Distinct words and units of the texts of one block, numbered as they come."""
-
-    def __init__(self, cut: re.Pattern):
-        self.cut = cut
-        self.words: dict[str, int] = {}
-        self.units: dict[str, int] = {}
-        self.chars = 0
-        self.codes: list[bytes] = []
-
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        marked = (SPACE + text.replace(" ", SPACE)) if text else ""
-        if SPACE * 2 in marked:
-            return [w for line in re.split("(\n)", marked) for w in re.findall(_COARSE, line)]
-        # A line end is a word of its own; what follows it has no blank before it.
-        return marked.replace("\n", " \n ").replace(SPACE, " " + SPACE).split(" ")[1:]
-
-    def add(self, text: str) -> None:
-        words, number = self._words(text), self.words
-        for w in set(words).difference(number):
-            number[w] = len(number)
-        self.codes.append(np.fromiter(map(number.__getitem__, words), "<u4", len(words)).tobytes())
-        self.chars += len(text)
-
-    def spell(self) -> tuple[np.ndarray, np.ndarray]:
-        """Number the units; units of every word in a row, and how many each word has."""
-        flat, counts, number = array("I"), array("I"), self.units
-        for w in self.words:
-            parts = self.cut.findall(w) if w else []
+    """The texts of one block as numbers of its distinct words, and the words as numbers of units."""
+
+    def __init__(self, texts: pa.Array, cut: re.Pattern):
+        words = self._words(texts)
+        coded = words.values.slice(words.offsets[0].as_py()).dictionary_encode()
+        self.codes = coded.indices.to_numpy().astype("<u4")
+        self.sizes = np.diff(words.offsets.to_numpy()).astype("<u4")
+        flat, counts, number = array("I"), array("I"), {}
+        for w in coded.dictionary.to_pylist():
+            parts = cut.findall(w)
             counts.append(len(parts))
             for p in parts:
                 flat.append(number.setdefault(p, len(number)))
-        return np.array(flat, "<u4"), np.array(counts, "<u4")
+        self.units = list(number)
+        self.flat, self.counts = np.array(flat, "<u4"), np.array(counts, "<u4")
+
+    @staticmethod
+    def _words(texts: pa.Array) -> pa.ListArray:
+        """A word begins at a blank; a line end is a word of its own, and so is what follows it."""
+        marked = pc.binary_join_element_wise("", pc.replace_substring(texts, " ", SPACE), SPACE)
+        marked = pc.if_else(pc.equal(texts, ""), "", marked)
+        lines = pc.replace_substring(marked, "\n", " \n ")
+        cut = pc.split_pattern(pc.replace_substring(lines, SPACE, " " + SPACE), " ")
+        runs = pc.match_substring(marked, SPACE * 2)
+        if not pc.any(runs).as_py():
+            return cut
+        odd = np.flatnonzero(runs.to_numpy(zero_copy_only=False))
+        own = pa.array(
+            [
+                [w for line in re.split("(\n)", t) for w in _COARSE.findall(line)]
+                for t in marked.take(pa.array(odd)).to_pylist()
+            ],
+            cut.type,
+        )
+        place = np.arange(len(texts))
+        place[odd] = len(texts) + np.arange(len(odd))
+        return pa.concat_arrays([cut, own]).take(pa.array(place))
+
+
+def _checksum(units: list[str]) -> int:
+    return zlib.crc32("\0".join(units).encode("utf-8", "replace"))
 
-    def checksum(self) -> int:
-        return zlib.crc32("\0".join(self.units).encode("utf-8", "replace"))
 
+def _blocks(batches: Iterator[pa.RecordBatch], cut: re.Pattern) -> Iterator[tuple[int, pa.Array, _Block]]:
+    """Number, ids of the rows and content of the blocks of a task's rows."""
+    part, count, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+    def block() -> tuple[int, pa.Array, _Block]:
+        owners, texts = (pa.concat_arrays([b.column(k) for b in held]) for k in (0, 1))
+        return (part << 24) + count, owners, _Block(pc.fill_null(texts, ""), cut)
 
-def _blocks(batches: Iterator[pa.RecordBatch], cut: re.Pattern, with_codes: bool):
-    """(number of the block, ids of its rows, block) of every task's rows."""
-    part, count = TaskContext.get().partitionId(), 0
-    block, owners = _Block(cut), []
     for batch in batches:
-        for owner, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            block.add(text or "")
-            if with_codes:
-                owners.append(owner)
-            else:
-                block.codes.clear()
-            if block.chars >= BLOCK_CHARS:
-                yield (part << 24) + count, owners, block
-                count, block, owners = count + 1, _Block(cut), []
-    if block.words or owners:
-        yield (part << 24) + count, owners, block
+        sizes = pc.binary_length(pc.fill_null(batch.column(1), "")).to_numpy().astype(np.int64)
+        at = 0
+        while at < len(sizes):
+            fits = int(np.searchsorted(np.cumsum(sizes[at:]) + size, BLOCK_BYTES, "right"))
+            end = min(len(sizes), at + max(fits, 0 if held else 1))
+            if end > at:
+                held.append(batch.slice(at, end - at))
+                size += int(sizes[at:end].sum())
+            if end < len(sizes):
+                yield block()
+                count, held, size = count + 1, [], 0
+            at = end
+    if held:
+        yield block()
 
 
 def encode_pieces(
@@ -296,9 +309,8 @@ def encode_pieces(
     kind = slim.dtypes[0][1]
 
     def units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, _, block in _blocks(batches, cut, False):
-            block.spell()
-            units = list(block.units)
+        for number, _, block in _blocks(batches, cut):
+            units = block.units
             for at in range(0, len(units), 50_000):
                 some = units[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays(
@@ -312,22 +324,20 @@ def encode_pieces(
 
     def codes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
-        for number, owners, block in _blocks(batches, cut, True):
-            flat, counts = block.spell()
-            sizes = np.array([len(c) // 4 for c in block.codes], "<u4")
-            parts = [b"".join(block.codes), sizes.tobytes(), flat.tobytes(), counts.tobytes()]
+        for number, owners, block in _blocks(batches, cut):
+            parts = [block.codes, block.sizes, block.flat, block.counts]
+            rows = pa.ListArray.from_arrays(pa.array([0, len(owners)], pa.int32()), owners)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([number], pa.int64()),
                     pa.array([len(block.units)], pa.int64()),
-                    pa.array([block.checksum()], pa.int64()),
-                    pa.array([owners], pa.list_(owner_type)),
-                    *[pa.array([packer.compress(p)], pa.binary()) for p in parts],
+                    pa.array([_checksum(block.units)], pa.int64()),
+                    rows,
+                    *[pa.array([packer.compress(p.tobytes())], pa.binary()) for p in parts],
                 ],
                 names=["block", "n_units", "checksum", "owners", "codes", "sizes", "flat", "counts"],
             )
 
-    owner_type = _arrow_type(kind)
     occurrences = slim.mapInArrow(units_of, "block long, place int, unit string")
     segments = segment_units(occurrences.select("unit").distinct(), table)
     returned = occurrences.join(segments, "unit").select("block", "place", "unit", "ids")
@@ -338,40 +348,33 @@ def encode_pieces(
     )
 
     def put_together(units: pa.Table, blocks: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"id": [], "n_pieces": [], "ids": []}
+        """One block: the ids of its units, then of its words, then of its texts."""
         unpack = zstandard.ZstdDecompressor().decompress
-        for row in blocks.to_pylist():
-            units = units.take(pa.compute.sort_indices(units["place"]))
-            if units.num_rows != row["n_units"] or row["checksum"] != zlib.crc32(
-                "\0".join(units["unit"].to_pylist()).encode("utf-8", "replace")
-            ):
-                raise RuntimeError("a block of texts changed between two reads; write the input first")
-            ids = units["ids"].combine_chunks()
-            starts = ids.offsets.to_numpy()[:-1].astype(np.int64)
-            lengths = np.diff(ids.offsets.to_numpy()).astype(np.int64)
-            values = ids.values.to_numpy().astype("<u4")
-            codes, sizes, flat, counts = (
-                np.frombuffer(unpack(row[c]), "<u4").astype(np.int64) for c in ("codes", "sizes", "flat", "counts")
-            )
-            # Ids of each word: those of its units.
-            word_values = gather(values, starts[flat], lengths[flat])
-            by_unit = np.concatenate([[0], np.cumsum(lengths[flat])])
-            word_ends = np.cumsum(counts)
-            word_starts = by_unit[word_ends - counts]
-            word_lengths = by_unit[word_ends] - word_starts
-            at = 0
-            for owner, size in zip(row["owners"], sizes.tolist()):
-                own = codes[at : at + size]
-                at += size
-                found = gather(word_values, word_starts[own], word_lengths[own])
-                out["id"].append(owner)
-                out["n_pieces"].append(len(found))
-                out["ids"].append(found.tobytes())
+        row = blocks.drop_columns(["owners"]).to_pylist()[0]
+        owners = blocks["owners"].combine_chunks().flatten()
+        units = units.take(pc.sort_indices(units["place"])).combine_chunks()
+        if units.num_rows != row["n_units"] or row["checksum"] != _checksum(units["unit"].to_pylist()):
+            raise RuntimeError("a block of texts changed between two reads; write the input first")
+        codes, sizes, flat, counts = (
+            np.frombuffer(unpack(row[c]), "<u4").astype(np.int64) for c in ("codes", "sizes", "flat", "counts")
+        )
+        values = pc.list_flatten(units["ids"]).to_numpy().astype("<u4")
+        lengths = pc.list_value_length(units["ids"]).to_numpy().astype(np.int64)
+        own = lengths[flat]
+        word_values = gather(values, (np.cumsum(lengths) - lengths)[flat], own)
+        before = np.concatenate([[0], np.cumsum(own)])
+        ends = np.cumsum(counts)
+        starts = before[ends - counts]
+        lengths = before[ends] - starts
+        own = lengths[codes]
+        data = gather(word_values, starts[codes], own).tobytes()
+        before = np.concatenate([[0], np.cumsum(own)])
+        places = before[np.concatenate([[0], np.cumsum(sizes)])]
         return pa.table(
             {
-                id_col: pa.array(out["id"], owner_type),
-                "n_pieces": pa.array(out["n_pieces"], pa.int64()),
-                "ids": pa.array(out["ids"], pa.binary()),
+                id_col: owners,
+                "n_pieces": pa.array(np.diff(places)),
+                "ids": pa.array([data[4 * a : 4 * b] for a, b in zip(places, places[1:])], pa.binary()),
             }
         )
 
@@ -382,15 +385,10 @@ def encode_pieces(
     )
 
 
-def _arrow_type(kind: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_type(_parse_datatype_string(kind), timezone="UTC")
-
-
-def decode_pieces(encoded: DataFrame, table: PieceTable, id_col: str = "doc_id") -> DataFrame:
-    """Id and ``text`` of rows with ``ids``; other columns are ignored."""
+def decode_pieces(
+    encoded: DataFrame, table: PieceTable, id_col: str = "doc_id", keep: Sequence[str | Column] = ()
+) -> DataFrame:
+    """Id and ``text`` of rows with ``ids``, and the columns of ``encoded`` that are to be kept."""
     size = max([*table.ids, *table.byte_ids]) + 1
     spelled = [b""] * size
     for number, piece in zip(table.ids, table.pieces):
@@ -404,13 +402,14 @@ def decode_pieces(encoded: DataFrame, table: PieceTable, id_col: str = "doc_id")
         starts = np.cumsum(lengths) - lengths
         for batch in batches:
             texts = []
-            for data in batch.column(1).to_pylist():
+            for data in batch.column(0).to_pylist():
                 ids = np.frombuffer(data or b"", "<u4")
                 text = gather(flat, starts[ids], lengths[ids]).tobytes().decode("utf-8", "replace")
                 texts.append(text.removeprefix(" "))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"]
+                [pa.array(texts, pa.string()), *batch.columns[1:]], names=["text", *batch.schema.names[1:]]
             )
 
-    slim = encoded.select(id_col, "ids")
-    return slim.mapInArrow(run, f"`{id_col}` {slim.dtypes[0][1]}, text string")
+    slim = encoded.select("ids", F.col(f"`{id_col}`"), *keep)
+    kept = ", ".join(f"`{c}` {kind}" for c, kind in slim.dtypes[1:])
+    return slim.mapInArrow(run, f"text string, {kept}")

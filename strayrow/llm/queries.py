@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strayrow.functions.materialize import new_path
-from strayrow.llm import html_text, jaccard, licenses, line_dedup, packing, quality, token_files, topk, url_filters
+from strayrow.llm import html_text, jaccard, licenses, line_dedup, packing, pieces, quality, token_files, topk, url_filters
 from strayrow.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,17 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+@query
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces_of = pieces.PieceTable.from_model(tokenizer_file("piece_bpe_32k.model"))
+    encoded = pieces.encode_pieces(table(spark, sf_dir, "documents"), pieces_of)
+    decoded = pieces.decode_pieces(encoded, pieces_of, keep=["n_pieces", F.crc32("ids").alias("ids_crc32")])
+    return decoded.select(
+        "doc_id", "n_pieces", "ids_crc32", F.length("text").cast("long").alias("n_chars"),
+        F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"),
+    )
+
+
 @query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
