@@ -7,6 +7,9 @@ but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +18,26 @@ from strayrow.llm import jaccard, line_dedup, packing, quality
 from strayrow.llm.queries import table, tokenizer_file
 from strayrow.session import ship_package
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def shipped(stage: Stage) -> Stage:
+    """A stage can run alone: the package goes to the workers first."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(ship_package(spark), docs, sf_dir)
+
+    return run_stage
+
 
+@shipped
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that a quality rule rejects go."""
     return quality.keep_good(docs)
 
 
+@shipped
 def line_dedup_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on too many documents of a source go; ``n_chars`` follows the text."""
     cleaned = line_dedup.drop_boilerplate(docs, "source", "text")
@@ -29,11 +46,13 @@ def line_dedup_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return cleaned.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
 
 
+@shipped
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five words, similarity 0.8."""
     return jaccard.keep_one(docs)
 
 
+@shipped
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 ids, their ids' checksum and place in a sequence."""
     pieces = packing.cut_pieces(docs, tokenizer_file("word_bpe_49k.json"))
@@ -55,7 +74,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_path(spark, name)
