@@ -6,7 +6,7 @@ residual gaps, of the squared number of open sequences with that gap becomes sma
 sequence is one of the choices.
 
 The rule needs only the open sequences, so it runs in shards of bounded size that are dealt out by
-a hash. Sequences that a shard could not fill give their pieces back; these are few, and are packed
+a hash. Sequences that a shard could not fill (but for 1/128) give their pieces back; these are few, and are packed
 again, first in the shard and then in fewer shards, until one shard holds them all. Every round
 leaves far fewer pieces.
 
@@ -29,6 +29,8 @@ from strayrow.functions.materialize import pin, pin_table
 from strayrow.llm.tokens import encoder
 
 SHARD = 16_384
+#: A sequence counts as filled when its gap is at most this part of it.
+NEARLY = 128
 
 
 def cut_pieces(
@@ -142,7 +144,7 @@ def _pack_round(pool: DataFrame, shards: int, number: int, length: int) -> DataF
         # Odd numbers; a full piece has an even one.
         ids = (((number << 30) + shard << 24) + sequence) * 2 + 1
         return pa.RecordBatch.from_arrays(
-            [pa.array(rows), pa.array(sizes), pa.array(ids), pa.array(offset), pa.array(gaps[sequence] > 0)],
+            [pa.array(rows), pa.array(sizes), pa.array(ids), pa.array(offset), pa.array(gaps[sequence] > length // NEARLY)],
             names=["row", "length", "sequence_id", "offset", "open"],
         )
 
@@ -194,7 +196,7 @@ def pack_pieces(pieces: DataFrame, length: int = 2048, shard: int = SHARD) -> Da
         settled.append(placed.where(~F.col("open")))
         pool = placed.where("open").select("row", "length")
         left = pool.count()
-        if left > size // 2:  # hardly any sequence was filled: another round would not help
+        if 4 * left > 3 * size:  # hardly any sequence was filled: another round would not help
             settled[-1] = placed
             break
         size = left
