@@ -244,13 +244,13 @@ def test_main_text_of_a_marked_article(spark):
 
 def test_repeated_runs_of_a_host_go_and_unique_ones_stay(spark):
     menu = "home news about contact all the other pages here"
-    rows = [(k, f"http://Site.net/{k}", f"<body><div>{menu}</div><p>unique text {k} of page {k}.</p></body>") for k in range(5)]
+    rows = [(k, f"http://Site.net/{k}", f"<body><div>{menu}</div><p>{k} is what only page {k} says.</p></body>") for k in range(5)]
     rows.append((9, "http://other.net/", f"<body><div>{menu}</div></body>"))
     rows.append((10, "http://site.net/10", f"<article>{menu}</article><div>{menu}</div>"))
     rows.append((4, rows[4][1], rows[4][2]))
     got = extracted(spark, rows)
     for k in range(5):
-        assert got[k]["text"] == f"unique text {k} of page {k}."
+        assert got[k]["text"] == f"{k} is what only page {k} says."
         assert got[k]["n_boilerplate"] == 9
     assert got[9]["text"] == menu  # no other page of that host
     assert got[10]["text"] == menu and got[10]["n_boilerplate"] == 9  # an article stays whole
