@@ -160,8 +160,9 @@ def top_k(
     )
     buckets = max(1, -(-facts["n"] // BUCKET))
     query_buckets = max(1, -(-facts["queries"] // QUERY_BUCKET))
-    bucket = F.pmod(F.xxhash64("row"), F.lit(buckets)).alias("bucket")
-    query_bucket = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(query_buckets)).alias("query_bucket")
+    # Both sides' keys must have one type, or equal keys would meet in different partitions.
+    bucket = F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int").alias("bucket")
+    query_bucket = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(query_buckets)).cast("int").alias("query_bucket")
     data = prepared.select(
         bucket, F.explode(F.sequence(F.lit(0), F.lit(query_buckets - 1))).alias("query_bucket"),
         "id", "row", "v", "near",
@@ -170,7 +171,7 @@ def top_k(
         F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), query_bucket,
         "id", "row", "v", "asking",
     )
-    exact = np.float32 if most * dims < 1 << 24 else np.float64
+    exact = np.float32 if most < 1 << 24 else np.float64  # no partial sum exceeds the norms' product
 
     def tile(data: pa.Table, queries: pa.Table) -> pa.Table:
         found: dict[str, list] = {"query": [], "place": [], "asked": [], "score": []}
