@@ -10,7 +10,8 @@ larger partner can be in. No pair is lost.
 
 In each tile the smallest node is compared with all others; the links give first components. Then
 only nodes of different components that still share a tile are compared with each other, block by
-block. Every comparison first uses hashed bitmaps: a bit that only one of the two has stands for at
+block, the most promising pair of every two components first; pairs within a component that these
+links form are left out. Every comparison first uses hashed bitmaps: a bit that only one of the two has stands for at
 least one shingle that only it has, so bit counts bound the overlap from above. What passes is
 decided by intersecting the sorted arrays of 64-bit shingle hashes (equal hashes count as equal
 shingles; the odds of a wrong one are about 1e-13 for a pair of large sets).
@@ -191,19 +192,18 @@ def _full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    return pin_table(
-        texts.mapInArrow(run, "node long, n long, bits binary, shingles binary").dropDuplicates(["node"]),
-        "sets",
-    )
+    # A node can come from several tasks if an id is repeated; that repeats pairs, no more.
+    return pin_table(texts.mapInArrow(run, "node long, n long, bits binary, shingles binary"), "sets")
 
 
 def _with(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
-    """Attach columns of both nodes of each pair."""
+    """Attach columns of both nodes of each pair, in front."""
+    own = pairs.columns
     for side in ("a", "b"):
         pairs = pairs.join(
             sets.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side
         )
-    return pairs.select("a", "b", *[f"{c}_{side}" for c in columns for side in ("a", "b")])
+    return pairs.select(*[f"{c}_{side}" for c in columns for side in ("a", "b")], *own)
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -211,47 +211,49 @@ def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_a, n_b = (batch.column(c).to_numpy() for c in (2, 3))
+            n_a, n_b = (batch.column(c).to_numpy() for c in (0, 1))
             keep = []
-            for a, b, x, y in zip(n_a, n_b, batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+            for a, b, x, y in zip(n_a, n_b, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 size = min(len(x), len(y))
                 x, y = folded(x, size), folded(y, size)
                 most = min(a - np.bitwise_count(x & ~y).sum(dtype=np.int64), b - np.bitwise_count(y & ~x).sum(dtype=np.int64))
                 keep.append(bool(most * (num + den) >= num * (a + b)))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select([4, 5]).filter(pa.array(keep, pa.bool_()))
 
-    sized = _with(pairs, sets, "n").where(
+    sized = _with(pairs, sets, "n", "bits").where(
         F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
     )
-    return _with(sized.select("a", "b"), sets, "n", "bits").mapInArrow(run, "a long, b long")
+    return sized.mapInArrow(run, "a long, b long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose exact similarity is large enough."""
+    """The pairs, with all columns, whose exact similarity is large enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 keep.append(overlap(x, y) * (num + den) >= num * (len(x) + len(y)))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            own = list(range(2, batch.num_columns))
+            yield batch.select(own).filter(pa.array(keep, pa.bool_()))
 
-    return _with(pairs, sets, "shingles").mapInArrow(run, "a long, b long")
+    return _with(pairs, sets, "shingles").mapInArrow(run, pairs.schema)
 
 
 def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of nodes of different components in one tile that bitmaps do not exclude.
+    """Pairs of nodes of different components in one tile that bitmaps do not exclude, with the
+    components (the smaller first) and the similarity that the bitmaps leave possible.
 
     ``rows``: key, lo, hi (blocks of the tile), block, node, component, n, bits.
     """
 
-    def pairs(nodes, parts, sizes, blocks, bits) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(nodes, parts, sizes, blocks, bits) -> list[np.ndarray]:
         width = min(len(x) for x in bits)
         words = np.stack([folded(x, width) for x in bits])
         split = len(set(blocks.tolist())) > 1
-        found_a, found_b = [], []
+        found = []
         step = max(1, (1 << 20) // (len(nodes) * width))
         for at in range(0, len(nodes), step):
             mine = slice(at, at + step)
@@ -264,9 +266,10 @@ def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
             if split:
                 good &= blocks[mine, None] != blocks[None]
             i, j = np.nonzero(good)
-            found_a.append(nodes[i + at])
-            found_b.append(nodes[j])
-        return np.concatenate(found_a), np.concatenate(found_b)
+            x, y = parts[i + at], parts[j]
+            bound = most[i, j] / (a + b - most)[i, j]
+            found.append((nodes[i + at], nodes[j], np.minimum(x, y), np.maximum(x, y), bound))
+        return [np.concatenate(x) for x in zip(*found)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = []
@@ -276,8 +279,8 @@ def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
             nodes, parts, sizes, blocks = (
                 np.array([r[k] for r in held], np.int64) for k in range(4)
             )
-            a, b = pairs(nodes, parts, sizes, blocks, [np.frombuffer(r[4], "<u8") for r in held])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            found = pairs(nodes, parts, sizes, blocks, [np.frombuffer(r[4], "<u8") for r in held])
+            return pa.RecordBatch.from_arrays(list(map(pa.array, found)), names=["a", "b", "from", "to", "bound"])
 
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
@@ -292,7 +295,43 @@ def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
 
     dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     columns = dealt.select("key", "lo", "hi", "node", "component", "n", "block", "bits")
-    return columns.mapInArrow(run, "a long, b long").distinct()
+    return (
+        columns.mapInArrow(run, "a long, b long, from long, to long, bound double")
+        .groupBy("a", "b", "from", "to")
+        .agg(F.max("bound").alias("bound"))
+    )
+
+
+def _renamed(labels: DataFrame, names: DataFrame) -> DataFrame:
+    """Labels whose components were joined to others."""
+    names = names.select(F.col("node").alias("component"), F.col("component").alias("name"))
+    return labels.join(names, "component", "left").select(
+        "node", F.coalesce("name", "component").alias("component")
+    )
+
+
+def _join_components(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Components (as nodes) that the pairs of ``_across`` join, and the component they form.
+
+    First the most promising pair of every two components is decided; what it joins need not be
+    decided again, all other pairs are.
+    """
+    best = pairs.groupBy("from", "to").agg(F.max(F.struct("bound", "a", "b")).alias("p"))
+    best = best.select("from", "to", "p.a", "p.b")
+    joined = pin(_linked(best, sets, num, den).select(F.col("from").alias("a"), F.col("to").alias("b")))
+    names = components(joined)
+    now = names.select("node", F.col("component").alias("name"))
+    rest = pairs.select("a", "b", "from", "to")
+    for side in ("from", "to"):
+        own = now.select(F.col("node").alias(side), F.col("name").alias(f"{side}_name"))
+        rest = rest.join(own, side, "left")
+    rest = rest.select(
+        "a", "b", F.coalesce("from_name", "from").alias("from"), F.coalesce("to_name", "to").alias("to")
+    ).where(F.col("from") != F.col("to"))
+    more = pin(_linked(rest, sets, num, den).select(F.col("from").alias("a"), F.col("to").alias("b")).distinct())
+    if more.isEmpty():
+        return names
+    return components(joined.unionByName(more))
 
 
 def similar_groups(
@@ -354,9 +393,13 @@ def similar_groups(
         )
         .join(sets.select("node", "n", "bits"), "node")
     )
-    more = pin(_linked(_across(spread, num, den), sets, num, den))
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    apart = pin(_across(spread, num, den))
+    if not apart.isEmpty():
+        names = _join_components(apart, sets, num, den)
+        # Nodes without a link so far are components of their own.
+        lone = names.select("node").join(labels.select("node"), "node", "left_anti")
+        labels = labels.unionByName(lone.withColumn("component", F.col("node")))
+        labels = pin(_renamed(labels, names))
 
     named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
