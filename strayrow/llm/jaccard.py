@@ -6,7 +6,8 @@ shingles are split by hash into more than d classes, so some class is the same i
 both nodes stand in the tile (band, class, content of the class). More classes than d + 1 are used,
 so that a common class is not empty, unless both nodes have many empty classes; such nodes also
 stand in tiles of empty classes. A node stands in the tiles of its own band and of each band that a
-larger partner can be in. No pair is lost.
+larger partner can be in. As there are more classes, a pair shares more than one tile; a node that
+shares fewer with all others together has no partner in the band and is taken out. No pair is lost.
 
 In each tile the smallest node is compared with all others; the links give first components. Then
 only nodes of different components that still share a tile are compared with each other, block by
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,6 +43,9 @@ SHINGLE = 5
 SIMILARITY = (4, 5)
 BROADCAST_IDS = 1_000_000
 BLOCK = 4_096
+BAND_MASK = 127
+#: Rounds of taking out nodes that share too few tiles.
+ROUNDS = 2
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -79,6 +83,9 @@ class Bands:
         self.differ = [2 * (hi - 1) * (den - num) // (den + num) for hi in self.edges[1:]]
         #: Classes that may be empty before a node also stands in tiles of empty classes.
         self.spare = [d // 16 + 1 if d else 0 for d in self.differ]
+        #: Classes beyond those; a pair shares so many more tiles.
+        self.extra = [d // 8 for d in self.differ]
+        self.classes = [d + 1 + s + x for d, s, x in zip(self.differ, self.spare, self.extra)]
 
     def of(self, size: int) -> list[int]:
         """The band of a size and those of larger partners."""
@@ -87,21 +94,36 @@ class Bands:
         last = int(np.searchsorted(self.edges, largest, "right")) - 1
         return list(range(first, last + 1))
 
+    def least_shared(self, size: Column, band: Column) -> Column:
+        """Tiles of a band that a node of a size shares with each partner, at least.
+
+        The classes of the band, less the shingles that only one of the two can have, less the
+        classes that may be empty. The largest possible partner asks for the fewest.
+        """
+
+        def of_band(values: list[int]) -> Column:
+            return F.get(F.array(*[F.lit(v).cast("long") for v in values]), band.cast("int"))
+
+        partner = F.least(of_band(self.edges[1:]) - 1, F.floor(size * self.den / self.num))
+        differ = F.floor((size + partner) * (self.den - self.num) / (self.den + self.num))
+        return of_band([d + 1 + x for d, x in zip(self.differ, self.extra)]) - differ
+
 
 def tile_keys(found: np.ndarray, bands: Bands) -> np.ndarray:
-    """Hashes that name the tiles of a set."""
+    """Hashes that name the tiles of a set; the lowest bits are the band."""
     keys = []
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(found + _STEP), dtype=np.uint64)])
     high = found >> np.uint64(32)
     for band in bands.of(len(found)):
-        classes = bands.differ[band] + 1 + bands.spare[band]
+        classes = bands.classes[band]
         ends = np.cumsum(np.bincount((high * np.uint64(classes) >> np.uint64(32)).astype(np.int64), minlength=classes))
         content = sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
         filled = np.diff(ends, prepend=0) > 0
         if classes - filled.sum() > bands.spare[band]:
             filled[:] = True
         label = np.uint64(band) << np.uint64(44) | np.arange(classes, dtype=np.uint64)
-        keys.append(mixed(content * _STEP + mixed(label + _STEP))[filled])
+        name = mixed(content * _STEP + mixed(label + _STEP))[filled]
+        keys.append(name & ~np.uint64(BAND_MASK) | np.uint64(band))
     return np.concatenate(keys)
 
 
@@ -351,15 +373,24 @@ def similar_groups(
     nodes = pin(
         rows.where(F.col("node").isNotNull())
         .groupBy("node")
-        .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"))
+        .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n"))
     )
     tiles = rows.where(F.col("keys").isNotNull()).select(F.explode("keys").alias("key"), "node")
     tile = Window.partitionBy("key")
-    shared = pin(
-        tiles.withColumns({"leader": F.min("node").over(tile), "last": F.max("node").over(tile)})
-        .where(F.col("leader") < F.col("last"))
-        .select("key", "node", "leader")
-    )
+    ends = {"leader": F.min("node").over(tile), "last": F.max("node").over(tile)}
+    shared = tiles.withColumns(ends).where(F.col("leader") < F.col("last")).select("key", "node")
+    bands = Bands(num, den)
+    own_band = F.col("key").bitwiseAND(BAND_MASK)
+    for _ in range(ROUNDS):
+        counted = (
+            pin_table(shared, "tiles")
+            .repartition("node")
+            .join(nodes.select("node", "n"), "node")
+            .withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("node", own_band)))
+        )
+        enough = counted.where(F.col("count") >= bands.least_shared(F.col("n"), own_band))
+        shared = enough.select("key", "node").withColumns(ends).where(F.col("leader") < F.col("last"))
+    shared = pin_table(shared.select("key", "node", "leader").distinct(), "tiles")
     first = shared.where(F.col("node") != F.col("leader")).select(
         F.col("leader").alias("a"), F.col("node").alias("b")
     ).distinct()
@@ -369,8 +400,7 @@ def similar_groups(
     labels = components(links)
 
     known = (
-        shared.distinct()
-        .join(labels, "node", "left")
+        shared.join(labels, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
         .withColumns(
             {
