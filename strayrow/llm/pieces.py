@@ -9,11 +9,12 @@ grouped by unit, and Spark's ``aggregate`` folds them from left to right (Viterb
 place the best score and its last piece. Of equal scores the one with the longer last piece wins.
 A character without a piece is an edge at a penalty and becomes the pieces of its UTF-8 bytes.
 
-Texts never travel by unit. Tasks turn their texts into numbers of the block's distinct units; the
-units meet their segmentations in a join on the unit, the results return to the block, and array
-operations put the ids in the places of the numbers. Blocks are read twice from the input, so the
-input must give equal partitions each time (files do; write other inputs first); a checksum of
-every block is compared and a difference is an error.
+Texts do not travel. A task turns the texts of its partition into numbers of their distinct units;
+the units are grouped with the list of the partitions that hold them, segmented once, and sent back
+packed by partition, where the partition's numbers (made again from the input) are zipped with them.
+So the input must give equal partitions each time (files do; write other inputs first); a checksum
+of every partition's units is compared, and a difference is an error. A unit's list has one entry for
+each partition at most.
 
 A model of either kind gives the piece table. The scores of a byte-pair model are ranks; the result
 is then the segmentation with the best sum of scores, as the library gives for the same table as a
@@ -40,18 +41,17 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
+from strayrow.llm.texts import raw
 from strayrow.llm.tokens import gather
 
 SPACE = "▁"
 LONGEST = 48
-BLOCK_BYTES = 48_000_000
 PENALTY = 10.0
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PURE = re.compile(f"{SPACE}*[{_LETTER}]*|[^{_LETTER}]*")
-_FINE = re.compile(f"{SPACE}*[{_LETTER}]+|{SPACE}*[^{_LETTER}{SPACE}]+|{SPACE}+")
-_COARSE = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 @dataclass(frozen=True)
@@ -90,12 +90,12 @@ class PieceTable:
         return min(self.scores, default=0.0) - PENALTY
 
     @property
-    def cut(self) -> re.Pattern:
-        """What a unit may be: finer if no piece mixes letters with other characters."""
+    def fine(self) -> bool:
+        """Whether no piece mixes letters with other characters, so that units may end between."""
         for p in self.pieces:
-            if "\n" in p or SPACE in p.lstrip(SPACE):
+            if "\n" in p or " " in p or SPACE in p.lstrip(SPACE):
                 raise ValueError(f"units could be cut inside the piece {p!r}")
-        return _FINE if all(map(_PURE.fullmatch, self.pieces)) else _COARSE
+        return all(map(_PURE.fullmatch, self.pieces))
 
     def frame(self, spark: SparkSession) -> DataFrame:
         rows = list(zip(self.pieces, self.ids, self.scores))
@@ -123,27 +123,36 @@ def viterbi(unit: str, table: dict[str, tuple[int, float]], longest: int, unknow
     return [i for part in reversed(ids) for i in part]
 
 
-def segment_units(units: DataFrame, table: PieceTable) -> DataFrame:
-    """``unit`` and ``ids`` of distinct units that are not empty."""
+def segment_units(units: DataFrame, table: PieceTable, keep: str) -> DataFrame:
+    """``unit``, ``ids`` and the column ``keep`` of distinct units; the empty one has no ids."""
     spark = units.sparkSession
     # The piece table is bounded by the model, so it may be broadcast.
     pieces = F.broadcast(table.frame(spark))
     n = F.length("unit")
     substrings = (
-        units.where(n <= LONGEST)
-        .select("unit", F.explode(F.sequence(F.lit(1), n)).alias("start"))
+        units.where(n.between(1, LONGEST))
+        .select("unit", keep, F.explode(F.sequence(F.lit(1), n)).alias("start"))
         .select(
             "unit",
+            F.when(F.col("start") == 1, F.col(keep)).alias(keep),
             "start",
             F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), n - F.col("start") + 1))).alias("size"),
         )
-        .select("unit", "start", "size", F.substring("unit", F.col("start"), F.col("size")).alias("piece"))
+        .select(
+            "unit",
+            # Carried by one edge, the one of the first character.
+            F.when(F.col("size") == 1, F.col(keep)).alias(keep),
+            "start",
+            "size",
+            F.substring("unit", F.col("start"), F.col("size")).alias("piece"),
+        )
     )
     edges = (
         substrings.join(pieces, "piece", "left")
         .where(F.col("piece_id").isNotNull() | (F.col("size") == 1))
         .select(
             "unit",
+            keep,
             F.struct(
                 (F.col("start") + F.col("size") - 1).alias("end"),
                 (F.col("start") - 1).alias("start"),
@@ -152,7 +161,9 @@ def segment_units(units: DataFrame, table: PieceTable) -> DataFrame:
             ).alias("edge"),
         )
     )
-    lattices = edges.groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    lattices = edges.groupBy("unit").agg(
+        F.sort_array(F.collect_list("edge")).alias("edges"), F.first(keep, ignorenulls=True).alias(keep)
+    )
 
     place = lambda start, number: F.struct(start.alias("start"), number.alias("id"))
     begin = F.struct(
@@ -194,10 +205,11 @@ def segment_units(units: DataFrame, table: PieceTable) -> DataFrame:
             lambda k: F.get(byte_ids, F.conv(F.substring(text, k, F.lit(2)), 16, 10).cast("int")),
         )
 
-    folded = lattices.select("unit", F.aggregate("edges", begin, follow, lambda s: s["last"]).alias("last"))
+    folded = lattices.select("unit", keep, F.aggregate("edges", begin, follow, lambda s: s["last"]).alias("last"))
     nothing = F.slice(F.array(F.struct(F.lit(-1).alias("id"), F.lit(0).alias("start"))), 1, 0)
     paths = folded.select(
         "unit",
+        keep,
         F.aggregate(
             F.sequence(F.lit(1), F.length("unit")),
             F.struct(F.length("unit").alias("at"), nothing.alias("path")),
@@ -215,7 +227,7 @@ def segment_units(units: DataFrame, table: PieceTable) -> DataFrame:
             )
         ),
     ).otherwise(plain)
-    short = paths.select("unit", ids.alias("ids"))
+    short = paths.select("unit", ids.alias("ids"), keep)
 
     longest, unknown, byte_numbers = table.longest, table.unknown_score, table.byte_ids
     known = dict(zip(table.pieces, zip(table.ids, table.scores)))
@@ -224,165 +236,187 @@ def segment_units(units: DataFrame, table: PieceTable) -> DataFrame:
         for batch in batches:
             found = [viterbi(u, known, longest, unknown, byte_numbers) for u in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["unit", "ids"]
+                [batch.column(0), pa.array(found, pa.list_(pa.int32())), batch.column(1)],
+                names=["unit", "ids", keep],
             )
 
-    long_units = units.where(n > LONGEST).select("unit").mapInArrow(by_hand, "unit string, ids array<int>")
-    return short.unionByName(long_units)
-
+    others = units.where(~n.between(1, LONGEST)).select("unit", keep)
+    kind = dict(others.dtypes)[keep]
+    return short.unionByName(others.mapInArrow(by_hand, f"unit string, ids array<int>, {keep} {kind}"))
 
-class _Block:
-    """The texts of one block as numbers of its distinct words, and the words as numbers of units."""
-
-    def __init__(self, texts: pa.Array, cut: re.Pattern):
-        words = self._words(texts)
-        coded = words.values.slice(words.offsets[0].as_py()).dictionary_encode()
-        self.codes = coded.indices.to_numpy().astype("<u4")
-        self.sizes = np.diff(words.offsets.to_numpy()).astype("<u4")
-        flat, counts, number = array("I"), array("I"), {}
-        for w in coded.dictionary.to_pylist():
-            parts = cut.findall(w)
-            counts.append(len(parts))
-            for p in parts:
-                flat.append(number.setdefault(p, len(number)))
-        self.units = list(number)
-        self.flat, self.counts = np.array(flat, "<u4"), np.array(counts, "<u4")
-
-    @staticmethod
-    def _words(texts: pa.Array) -> pa.ListArray:
-        """A word begins at a blank; a line end is a word of its own, and so is what follows it."""
-        marked = pc.binary_join_element_wise("", pc.replace_substring(texts, " ", SPACE), SPACE)
-        marked = pc.if_else(pc.equal(texts, ""), "", marked)
-        lines = pc.replace_substring(marked, "\n", " \n ")
-        cut = pc.split_pattern(pc.replace_substring(lines, SPACE, " " + SPACE), " ")
-        runs = pc.match_substring(marked, SPACE * 2)
-        if not pc.any(runs).as_py():
-            return cut
-        odd = np.flatnonzero(runs.to_numpy(zero_copy_only=False))
-        own = pa.array(
-            [
-                [w for line in re.split("(\n)", t) for w in _COARSE.findall(line)]
-                for t in marked.take(pa.array(odd)).to_pylist()
-            ],
-            cut.type,
-        )
-        place = np.arange(len(texts))
-        place[odd] = len(texts) + np.arange(len(odd))
-        return pa.concat_arrays([cut, own]).take(pa.array(place))
 
+def _units(texts: pa.Array, fine: bool) -> pa.ListArray:
+    """Every text's units; a line end is one of its own. A blank belongs to the unit after it."""
+    marked = pc.binary_join_element_wise("", pc.replace_substring(texts, " ", SPACE), SPACE)
+    marked = pc.if_else(pc.equal(texts, ""), "", marked)
+    lines = pc.replace_substring(marked, "\n", " \n ")
+    spaced = pc.replace_substring_regex(lines, f"([^ {SPACE}]){SPACE}", f"\\1 {SPACE}")
+    if fine:
+        # A character can end one match and begin the next, so the two kinds of border take turns.
+        spaced = pc.replace_substring_regex(spaced, f"([{_LETTER}])([^{_LETTER} {SPACE}])", "\\1 \\2")
+        spaced = pc.replace_substring_regex(spaced, f"([^{_LETTER} {SPACE}])([{_LETTER}])", "\\1 \\2")
+    return pc.split_pattern(spaced, " ")
 
-def _checksum(units: list[str]) -> int:
-    return zlib.crc32("\0".join(units).encode("utf-8", "replace"))
 
+class _Block:
+    """The texts of one partition as numbers of its distinct units."""
 
-def _blocks(batches: Iterator[pa.RecordBatch], cut: re.Pattern) -> Iterator[tuple[int, pa.Array, _Block]]:
-    """Number, ids of the rows and content of the blocks of a task's rows."""
-    part, count, held, size = TaskContext.get().partitionId(), 0, [], 0
+    def __init__(self, batches: Iterator[pa.RecordBatch], fine: bool):
+        self.owners, self.codes, self.sizes = [], [], []
+        held = [pa.array([], pa.string())]
+        for batch in batches:
+            cut = _units(pc.fill_null(batch.column(1), ""), fine)
+            coded = cut.values.slice(cut.offsets[0].as_py()).dictionary_encode()
+            found = pc.index_in(coded.dictionary, value_set=pa.concat_arrays(held)).fill_null(-1)
+            places = found.to_numpy().copy()
+            new = np.flatnonzero(places < 0)
+            before = sum(map(len, held))
+            places[new] = before + np.arange(len(new))
+            held.append(coded.dictionary.take(pa.array(new)))
+            self.owners.append(batch.column(0))
+            self.codes.append(places[coded.indices.to_numpy()].astype("<u4").tobytes())
+            self.sizes.append(np.diff(cut.offsets.to_numpy()))
+        self.units = pa.concat_arrays(held)
+
+    def checksum(self) -> int:
+        return _combined(np.array([zlib.crc32(u) for u in raw(self.units)], "<u4"))
+
+
+def _pack(table: pa.Table) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(
+        b"".join(
+            len(a).to_bytes(8, "little") + a
+            for a in (np.asarray(c, "<u4").tobytes() for c in table)
+        )
+    )
 
-    def block() -> tuple[int, pa.Array, _Block]:
-        owners, texts = (pa.concat_arrays([b.column(k) for b in held]) for k in (0, 1))
-        return (part << 24) + count, owners, _Block(pc.fill_null(texts, ""), cut)
 
-    for batch in batches:
-        sizes = pc.binary_length(pc.fill_null(batch.column(1), "")).to_numpy().astype(np.int64)
-        at = 0
-        while at < len(sizes):
-            fits = int(np.searchsorted(np.cumsum(sizes[at:]) + size, BLOCK_BYTES, "right"))
-            end = min(len(sizes), at + max(fits, 0 if held else 1))
-            if end > at:
-                held.append(batch.slice(at, end - at))
-                size += int(sizes[at:end].sum())
-            if end < len(sizes):
-                yield block()
-                count, held, size = count + 1, [], 0
-            at = end
-    if held:
-        yield block()
+def _unpack(data: bytes) -> list[np.ndarray]:
+    data, at, arrays = zstandard.ZstdDecompressor().decompress(bytes(data)), 0, []
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 8], "little")
+        arrays.append(np.frombuffer(data, "<u4", size // 4, at + 8).astype(np.int64))
+        at += 8 + size
+    return arrays
 
 
 def encode_pieces(
     docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Id, ``n_pieces`` and ``ids`` (little-endian unsigned 32-bit integers) of every row."""
-    cut = table.cut
+    fine = table.fine
+    spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = slim.dtypes[0][1]
+    id_type = slim.schema[0].dataType
 
     def units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, _, block in _blocks(batches, cut):
-            units = block.units
-            for at in range(0, len(units), 50_000):
-                some = units[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([number] * len(some), pa.int64()),
-                        pa.array(range(at, at + len(some)), pa.int32()),
-                        pa.array(some, pa.string()),
-                    ],
-                    names=["block", "place", "unit"],
-                )
+        units = _Block(batches, fine).units
+        part = TaskContext.get().partitionId()
+        for at in range(0, len(units), 50_000):
+            some = units.slice(at, 50_000)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(some), part, np.int32)),
+                    pa.array(np.arange(at, at + len(some), dtype=np.int32)),
+                    some,
+                ],
+                names=["part", "place", "unit"],
+            )
 
     def codes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3)
-        for number, owners, block in _blocks(batches, cut):
-            parts = [block.codes, block.sizes, block.flat, block.counts]
-            rows = pa.ListArray.from_arrays(pa.array([0, len(owners)], pa.int32()), owners)
+        """One row for each batch; the first has the checksum, the last comes with all units."""
+        block = _Block(batches, fine)
+        for owners, codes, sizes in zip(block.owners, block.codes, block.sizes):
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([number], pa.int64()),
                     pa.array([len(block.units)], pa.int64()),
-                    pa.array([_checksum(block.units)], pa.int64()),
-                    rows,
-                    *[pa.array([packer.compress(p.tobytes())], pa.binary()) for p in parts],
+                    pa.array([block.checksum()], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array([0, len(owners)], pa.int32()), owners),
+                    pa.array([_pack([np.frombuffer(codes, "<u4"), sizes])], pa.binary()),
                 ],
-                names=["block", "n_units", "checksum", "owners", "codes", "sizes", "flat", "counts"],
+                names=["n_units", "checksum", "owners", "codes"],
             )
 
-    occurrences = slim.mapInArrow(units_of, "block long, place int, unit string")
-    segments = segment_units(occurrences.select("unit").distinct(), table)
-    returned = occurrences.join(segments, "unit").select("block", "place", "unit", "ids")
-    coded = slim.mapInArrow(
-        codes_of,
-        f"block long, n_units long, checksum long, owners array<{kind}>, codes binary, sizes binary, "
-        "flat binary, counts binary",
+    # Many partitions, since every unit grows to all its substrings before it is one row again.
+    partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    units = (
+        slim.mapInArrow(units_of, "part int, place int, unit string")
+        .repartition(partitions, "unit")
+        .groupBy("unit")
+        .agg(F.collect_list(F.struct("part", "place")).alias("places"))
+    )
+    returned = (
+        segment_units(units, table, "places")
+        .select(F.explode("places").alias("p"), "unit", "ids")
+        .select("p.part", "p.place", F.crc32(F.encode("unit", "UTF-8")).alias("crc"), "ids")
     )
 
-    def put_together(units: pa.Table, blocks: pa.Table) -> pa.Table:
-        """One block: the ids of its units, then of its words, then of its texts."""
-        unpack = zstandard.ZstdDecompressor().decompress
-        row = blocks.drop_columns(["owners"]).to_pylist()[0]
-        owners = blocks["owners"].combine_chunks().flatten()
-        units = units.take(pc.sort_indices(units["place"])).combine_chunks()
-        if units.num_rows != row["n_units"] or row["checksum"] != _checksum(units["unit"].to_pylist()):
-            raise RuntimeError("a block of texts changed between two reads; write the input first")
-        codes, sizes, flat, counts = (
-            np.frombuffer(unpack(row[c]), "<u4").astype(np.int64) for c in ("codes", "sizes", "flat", "counts")
-        )
-        values = pc.list_flatten(units["ids"]).to_numpy().astype("<u4")
-        lengths = pc.list_value_length(units["ids"]).to_numpy().astype(np.int64)
-        own = lengths[flat]
-        word_values = gather(values, (np.cumsum(lengths) - lengths)[flat], own)
-        before = np.concatenate([[0], np.cumsum(own)])
-        ends = np.cumsum(counts)
-        starts = before[ends - counts]
-        lengths = before[ends] - starts
-        own = lengths[codes]
-        data = gather(word_values, starts[codes], own).tobytes()
-        before = np.concatenate([[0], np.cumsum(own)])
-        places = before[np.concatenate([[0], np.cumsum(sizes)])]
-        return pa.table(
-            {
-                id_col: owners,
-                "n_pieces": pa.array(np.diff(places)),
-                "ids": pa.array([data[4 * a : 4 * b] for a, b in zip(places, places[1:])], pa.binary()),
-            }
-        )
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one partition together: places, checksums and counts, then ids."""
+        for batch in batches:
+            part = batch.column(0).to_numpy()
+            order = np.argsort(part, kind="stable")
+            batch = batch.take(pa.array(order))
+            part = part[order]
+            cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(part)]):
+                some = batch.slice(a, b - a)
+                arrays = [
+                    some.column(1),
+                    some.column(2),
+                    pc.list_value_length(some.column(3)),
+                    pc.list_flatten(some.column(3)),
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part[a]], pa.int32()), pa.array([_pack(arrays)], pa.binary())],
+                    names=["part", "data"],
+                )
 
-    return (
-        returned.groupBy("block")
-        .cogroup(coded.groupBy("block"))
-        .applyInArrow(put_together, f"`{id_col}` {kind}, n_pieces long, ids binary")
+    back = returned.mapInArrow(packed, "part int, data binary")
+    texts = slim.mapInArrow(codes_of, f"n_units long, checksum long, owners array<{slim.dtypes[0][1]}>, codes binary")
+    # The partitions' numbers stay where they are made; only segmentations are dealt out.
+    left = texts.rdd.mapPartitions(lambda rows: [list(rows)])
+    count = left.getNumPartitions()
+    right = (
+        back.rdd.map(lambda r: (r["part"], r["data"]))
+        .partitionBy(max(1, count), lambda part: part)
+        .mapPartitions(lambda rows: [[data for _, data in rows]])
     )
+    if right.getNumPartitions() > count:  # a context may be set to deal out more finely
+        more = right.getNumPartitions() - count
+        left = left.union(spark.sparkContext.parallelize([[]] * more, more))
+
+    def put_together(pair) -> Iterator[tuple]:
+        """One partition: ids by place of the unit, then the ids of each text."""
+        rows, packs = pair
+        if not rows:
+            return
+        parts = [_unpack(p) for p in packs]
+        places, crcs, counts, flat = (
+            np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]) for k in range(4)
+        )
+        order = np.argsort(places)
+        if len(places) != rows[0]["n_units"] or _combined(crcs[order]) != rows[0]["checksum"]:
+            raise RuntimeError("a partition changed between two reads; write the input first")
+        starts, counts = (np.cumsum(counts) - counts)[order], counts[order]
+        flat = flat.astype("<u4")
+        for row in rows:
+            codes, sizes = _unpack(row["codes"])
+            own = counts[codes]
+            data = gather(flat, starts[codes], own).tobytes()
+            before = np.concatenate([[0], np.cumsum(own)])
+            ends = before[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+            for owner, a, b in zip(row["owners"], ends, ends[1:]):
+                yield owner, b - a, bytearray(data[4 * a : 4 * b])
+
+    schema = StructType(
+        [StructField(id_col, id_type), StructField("n_pieces", LongType()), StructField("ids", BinaryType())]
+    )
+    return spark.createDataFrame(left.zip(right).flatMap(put_together), schema, verifySchema=False)
+
+
+def _combined(crcs: np.ndarray) -> int:
+    return zlib.crc32(crcs.astype("<u4").tobytes())
 
 
 def decode_pieces(

@@ -216,11 +216,35 @@ def test_lattice_of_odd_rows(spark, table):
         assert decoded[k or None] == (text or "")
 
 
-def test_lattice_in_many_blocks(spark, table, monkeypatch):
-    monkeypatch.setattr(pieces, "BLOCK_BYTES", 40)
-    docs = spark.createDataFrame([(k, f"text {k} the end of it") for k in range(50)], "doc_id long, text string").coalesce(2)
-    for r in pieces.encode_pieces(docs, table).collect():
-        assert np.frombuffer(r["ids"], "<u4").tolist() == plain_ids(table, f"text {r['doc_id']} the end of it")
+def test_lattice_in_many_partitions_and_batches(spark, table):
+    rows = [(k, f"text {k % 7} the end of it, {k}") for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5, "doc_id")
+    docs = spark.read.parquet(write(spark, docs))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = pieces.encode_pieces(docs, table).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 90
+    for r in got:
+        assert np.frombuffer(r["ids"], "<u4").tolist() == plain_ids(table, dict(rows)[r["doc_id"]])
+        assert r["n_pieces"] == len(r["ids"]) // 4
+
+
+def test_lattice_refuses_an_input_that_changes(spark, table):
+    from pyspark.sql.functions import col, concat, lit, rand
+
+    docs = spark.range(40).select(col("id").alias("doc_id"), concat(lit("some text "), (rand() * 1e6).cast("int")).alias("text"))
+    changing = docs.mapInArrow(lambda batches: (b.take(np.random.permutation(len(b))[: len(b) // 2]) for b in batches), docs.schema)
+    with pytest.raises(Exception, match="changed between two reads"):
+        pieces.encode_pieces(changing, table).collect()
+
+
+def write(spark, docs):
+    path = new_path(spark, "docs")
+    docs.write.parquet(path)
+    return path
 
 
 def test_lattice_of_nothing(spark, table):
@@ -229,8 +253,16 @@ def test_lattice_of_nothing(spark, table):
     assert encoded.count() == 0 and pieces.decode_pieces(encoded, table).count() == 0
 
 
-def test_pieces_that_units_would_cut_are_refused(table):
+def test_pieces_that_units_would_cut(table):
     with pytest.raises(ValueError):
-        pieces.PieceTable(("a▁b",), (1,), (0.0,), table.byte_ids).cut
-    mixed = pieces.PieceTable(("a.",), (1,), (0.0,), table.byte_ids)
-    assert mixed.cut is pieces._COARSE
+        pieces.PieceTable(("a▁b",), (1,), (0.0,), table.byte_ids).fine
+    assert table.fine
+    mixed = pieces.PieceTable(("a.", "a", "b", ".", "▁"), (1, 2, 3, 4, 5), (-1.0, -3.0, -1.0, -3.0, -1.0), table.byte_ids)
+    assert not mixed.fine
+
+
+def test_lattice_with_a_piece_across_letters_and_marks(spark, table):
+    mixed = pieces.PieceTable(("a.", "a", "b", ".", "▁"), (1, 2, 3, 4, 5), (-1.0, -3.0, -1.0, -3.0, -1.0), table.byte_ids)
+    docs = spark.createDataFrame([(1, "a.b a b.")], "doc_id long, text string")
+    (row,) = pieces.encode_pieces(docs, mixed).collect()
+    assert np.frombuffer(row["ids"], "<u4").tolist() == [5, 1, 3, 5, 2, 5, 3, 4]
