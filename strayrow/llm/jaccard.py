@@ -264,9 +264,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return _with(pairs, sets, "shingles").mapInArrow(run, pairs.schema)
 
 
-def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
+def _across(rows: DataFrame, num: int, den: int, best: bool) -> DataFrame:
     """Pairs of nodes of different components in one tile that bitmaps do not exclude, with the
-    components (the smaller first) and the similarity that the bitmaps leave possible.
+    components (the smaller first) and the similarity that the bitmaps leave possible; with
+    ``best`` only the most similar pair of every two components. Tiles repeat each other's pairs.
 
     ``rows``: key, lo, hi (blocks of the tile), block, node, component, n, bits.
     """
@@ -291,7 +292,14 @@ def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
             x, y = parts[i + at], parts[j]
             bound = most[i, j] / (a + b - most)[i, j]
             found.append((nodes[i + at], nodes[j], np.minimum(x, y), np.maximum(x, y), bound))
-        return [np.concatenate(x) for x in zip(*found)]
+        found = [np.concatenate(x) for x in zip(*found)]
+        if best:
+            order = np.lexsort((-found[4], found[3], found[2]))
+            found = [x[order] for x in found]
+            first = np.ones(len(order), bool)
+            first[1:] = (found[2][1:] != found[2][:-1]) | (found[3][1:] != found[3][:-1])
+            found = [x[first] for x in found]
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = []
@@ -317,11 +325,7 @@ def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
 
     dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     columns = dealt.select("key", "lo", "hi", "node", "component", "n", "block", "bits")
-    return (
-        columns.mapInArrow(run, "a long, b long, from long, to long, bound double")
-        .groupBy("a", "b", "from", "to")
-        .agg(F.max("bound").alias("bound"))
-    )
+    return columns.mapInArrow(run, "a long, b long, from long, to long, bound double")
 
 
 def _renamed(labels: DataFrame, names: DataFrame) -> DataFrame:
@@ -332,28 +336,54 @@ def _renamed(labels: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def _join_components(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Components (as nodes) that the pairs of ``_across`` join, and the component they form.
+def _tiles_of_components(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """What ``_across`` reads: tiles with several components, in blocks of bounded size."""
+    tile = Window.partitionBy("key")
+    known = (
+        shared.join(labels, "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
+        .withColumns(
+            {
+                "least": F.min("component").over(tile),
+                "most": F.max("component").over(tile),
+                "count": F.count(F.lit(1)).over(tile),
+            }
+        )
+        # Two nodes have been compared already; nodes of one component need not be.
+        .where((F.col("least") < F.col("most")) & (F.col("count") > 2))
+    )
+    order = Window.partitionBy("key").orderBy("node")
+    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
+    return (
+        known.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select(
+            "key", "node", "component", "block",
+            F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+        )
+        .join(sets.select("node", "n", "bits"), "node")
+    )
+
 
-    First the most promising pair of every two components is decided; what it joins need not be
-    decided again, all other pairs are.
-    """
-    best = pairs.groupBy("from", "to").agg(F.max(F.struct("bound", "a", "b")).alias("p"))
-    best = best.select("from", "to", "p.a", "p.b")
-    joined = pin(_linked(best, sets, num, den).select(F.col("from").alias("a"), F.col("to").alias("b")))
+def _join_components(
+    labels: DataFrame, shared: DataFrame, sets: DataFrame, num: int, den: int, best: bool
+) -> DataFrame:
+    """Labels after the pairs of ``_across`` have been decided."""
+    found = _across(_tiles_of_components(shared, labels, sets), num, den, best)
+    if best:
+        top = found.groupBy("from", "to").agg(F.max(F.struct("bound", "a", "b")).alias("p"))
+        pairs = top.select("p.a", "p.b", "from", "to")
+    else:
+        pairs = found.select("a", "b", "from", "to").distinct()
+    joined = pin(
+        _linked(pin(pairs), sets, num, den).select(F.col("from").alias("a"), F.col("to").alias("b")).distinct()
+    )
+    if joined.isEmpty():
+        return labels
     names = components(joined)
-    now = names.select("node", F.col("component").alias("name"))
-    rest = pairs.select("a", "b", "from", "to")
-    for side in ("from", "to"):
-        own = now.select(F.col("node").alias(side), F.col("name").alias(f"{side}_name"))
-        rest = rest.join(own, side, "left")
-    rest = rest.select(
-        "a", "b", F.coalesce("from_name", "from").alias("from"), F.coalesce("to_name", "to").alias("to")
-    ).where(F.col("from") != F.col("to"))
-    more = pin(_linked(rest, sets, num, den).select(F.col("from").alias("a"), F.col("to").alias("b")).distinct())
-    if more.isEmpty():
-        return names
-    return components(joined.unionByName(more))
+    # Nodes without a link so far are components of their own.
+    lone = names.select("node").join(labels.select("node"), "node", "left_anti")
+    return pin(_renamed(labels.unionByName(lone.withColumn("component", F.col("node"))), names))
 
 
 def similar_groups(
@@ -399,37 +429,9 @@ def similar_groups(
     links = pin(_linked(_possible(first, sets, num, den), sets, num, den))
     labels = components(links)
 
-    known = (
-        shared.join(labels, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-        .withColumns(
-            {
-                "least": F.min("component").over(tile),
-                "most": F.max("component").over(tile),
-                "count": F.count(F.lit(1)).over(tile),
-            }
-        )
-        # Two nodes have been compared already; nodes of one component need not be.
-        .where((F.col("least") < F.col("most")) & (F.col("count") > 2))
-    )
-    order = Window.partitionBy("key").orderBy("node")
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    spread = (
-        known.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select(
-            "key", "node", "component", "block",
-            F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-        )
-        .join(sets.select("node", "n", "bits"), "node")
-    )
-    apart = pin(_across(spread, num, den))
-    if not apart.isEmpty():
-        names = _join_components(apart, sets, num, den)
-        # Nodes without a link so far are components of their own.
-        lone = names.select("node").join(labels.select("node"), "node", "left_anti")
-        labels = labels.unionByName(lone.withColumn("component", F.col("node")))
-        labels = pin(_renamed(labels, names))
+    # First the best pair of every two components; then all pairs that are still apart.
+    for best in (True, False):
+        labels = _join_components(labels, shared, sets, num, den, best)
 
     named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
