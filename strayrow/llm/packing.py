@@ -77,7 +77,7 @@ def cut_pieces(
                     pieces.append(n)
                     ids.append(got[at : at + step])
                 held += len(got)
-                if held > 1 << 24:
+                if held > 1 << 22:
                     yield flush()
                     owners, pieces, ids, held = [], [], [], 0
             if owners:

@@ -18,11 +18,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from strayrow.llm.texts import give_back
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 REMEMBERED_LENGTH = 64
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 8_000_000
 RUN = 8_192
 
 _SPACES = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -162,7 +164,7 @@ class PieceEncoder:
             held = np.searchsorted(np.cumsum(sizes[at:]), CHUNK_BYTES, "right")
             end = at + max(1, int(held))
             ids = self._chunk(texts.slice(at, end - at))
-            pa.default_memory_pool().release_unused()
+            give_back()
             yield from (i if n else b"" for i, n in zip(ids, sizes[at:end].tolist()))
             at = end
 
