@@ -147,86 +147,93 @@ def segment_units(units: DataFrame, table: PieceTable, keep: str) -> DataFrame:
             F.substring("unit", F.col("start"), F.col("size")).alias("piece"),
         )
     )
+    # An edge is one number: end, start, and id + 1 (0 for a character without a piece).
     edges = (
         substrings.join(pieces, "piece", "left")
         .where(F.col("piece_id").isNotNull() | (F.col("size") == 1))
         .select(
             "unit",
+            F.xxhash64("unit").alias("hash"),  # sorts faster than the unit
             keep,
-            F.struct(
-                (F.col("start") + F.col("size") - 1).alias("end"),
-                (F.col("start") - 1).alias("start"),
-                F.coalesce("piece_id", F.lit(-1)).alias("id"),
-                F.coalesce("score", F.lit(table.unknown_score)).alias("score"),
+            (
+                F.shiftleft((F.col("start") + F.col("size") - 1).cast("long"), 40)
+                + F.shiftleft((F.col("start") - 1).cast("long"), 24)
+                + F.coalesce(F.col("piece_id") + 1, F.lit(0))
             ).alias("edge"),
         )
     )
-    lattices = edges.groupBy("unit").agg(
+    lattices = edges.groupBy("hash", "unit").agg(
         F.sort_array(F.collect_list("edge")).alias("edges"), F.first(keep, ignorenulls=True).alias(keep)
     )
+    by_id = [table.unknown_score] * (max(table.ids, default=0) + 2)
+    for number, score in zip(table.ids, table.scores):
+        by_id[number + 1] = score
+    scores = F.split(F.lit(",".join(map(repr, by_id))), ",").cast("array<double>")  # folded once
+
+    end_of = lambda e: F.shiftright(e, 40).cast("int")
+    start_of = lambda e: F.shiftright(e, 24).bitwiseAND(0xFFFF).cast("int")
+    number_of = lambda e: e.bitwiseAND(0xFFFFFF).cast("int")
+    none = F.slice(F.array(F.lit(0).cast("long")), 1, 0)
+
+    def state(best, last, score, edge):
+        return F.struct(best.alias("best"), last.alias("last"), score.alias("score"), edge.alias("edge"))
+
+    def follow(s, edge):
+        """Edges come by end, then start. ``best`` and ``last`` hold the settled places, ``score``
+        and ``edge`` the one after them; the first edge to a new place settles that one, a better
+        edge to it replaces the one found."""
+        at, start, worth = F.size(s["best"]), start_of(edge), F.get(scores, number_of(edge))
+        onward = state(
+            F.concat(s["best"], F.array(s["score"])),
+            F.concat(s["last"], F.array(s["edge"])),
+            F.when(start == at, s["score"]).otherwise(F.get(s["best"], start)) + worth,
+            edge,
+        )
+        score = F.get(s["best"], start) + worth
+        better = state(s["best"], s["last"], score, edge)
+        return F.when(end_of(edge) > at, onward).when(score > s["score"], better).otherwise(s)
 
-    place = lambda start, number: F.struct(start.alias("start"), number.alias("id"))
-    begin = F.struct(
-        F.array(F.lit(0.0)).alias("best"),
-        F.array(place(F.lit(0), F.lit(-1))).alias("last"),
+    begin = state(F.slice(F.array(F.lit(0.0)), 1, 0), none, F.lit(0.0), F.lit(0).cast("long"))
+    folded = lattices.select(
+        "unit",
+        keep,
+        F.aggregate("edges", begin, follow, lambda s: F.concat(s["last"], F.array(s["edge"]))).alias("last"),
     )
 
-    def follow(state, edge):
-        """Edges come by end, then start; the first edge to a place adds it, a better one replaces."""
-        score = F.get(state["best"], edge["start"]) + edge["score"]
-        reached = F.size(state["best"]) > edge["end"]
-        kept = F.slice(state["best"], F.lit(1), edge["end"])
-        put = F.struct(
-            F.concat(kept, F.array(score)).alias("best"),
-            F.concat(
-                F.slice(state["last"], F.lit(1), edge["end"]), F.array(place(edge["start"], edge["id"]))
-            ).alias("last"),
-        )
-        return F.when(reached & (F.get(state["best"], edge["end"]) >= score), state).otherwise(put)
-
-    def step_back(state, _):
-        edge = F.get(F.col("last"), state["at"])
-        return F.when(state["at"] == 0, state).otherwise(
-            F.struct(
-                edge["start"].alias("at"),
-                F.concat(
-                    F.array(F.struct(edge["id"].alias("id"), edge["start"].alias("start"))), state["path"]
-                ).alias("path"),
-            )
+    def step_back(s, _):
+        edge = F.get(F.col("last"), s["at"])
+        return F.when(s["at"] == 0, s).otherwise(
+            F.struct(start_of(edge).alias("at"), F.concat(F.array(edge), s["path"]).alias("path"))
         )
 
-    byte_ids = F.array(*map(F.lit, table.byte_ids))
-
-    def spelled(unit, start):
-        """Ids of the bytes of one character."""
-        text = F.hex(F.encode(F.substring(unit, start + 1, F.lit(1)), "UTF-8"))
-        return F.transform(
-            F.sequence(F.lit(1), F.length(text), F.lit(2)),
-            lambda k: F.get(byte_ids, F.conv(F.substring(text, k, F.lit(2)), 16, 10).cast("int")),
-        )
-
-    folded = lattices.select("unit", keep, F.aggregate("edges", begin, follow, lambda s: s["last"]).alias("last"))
-    nothing = F.slice(F.array(F.struct(F.lit(-1).alias("id"), F.lit(0).alias("start"))), 1, 0)
     paths = folded.select(
         "unit",
         keep,
         F.aggregate(
             F.sequence(F.lit(1), F.length("unit")),
-            F.struct(F.length("unit").alias("at"), nothing.alias("path")),
+            F.struct(F.length("unit").alias("at"), none.alias("path")),
             step_back,
             lambda s: s["path"],
         ).alias("path"),
     )
-    plain = F.transform("path", lambda p: p["id"])
+    byte_ids = F.split(F.lit(",".join(map(str, table.byte_ids))), ",").cast("array<int>")
+
+    def spelled(edge):
+        """Ids of the bytes of the edge's one character."""
+        text = F.hex(F.encode(F.substring(F.col("unit"), start_of(edge) + 1, F.lit(1)), "UTF-8"))
+        return F.transform(
+            F.sequence(F.lit(1), F.length(text), F.lit(2)),
+            lambda k: F.get(byte_ids, F.conv(F.substring(text, k, F.lit(2)), 16, 10).cast("int")),
+        )
+
     ids = F.when(
-        F.exists("path", lambda p: p["id"] < 0),
+        F.exists("path", lambda e: number_of(e) == 0),
         F.flatten(
             F.transform(
-                "path",
-                lambda p: F.when(p["id"] < 0, spelled(F.col("unit"), p["start"])).otherwise(F.array(p["id"])),
+                "path", lambda e: F.when(number_of(e) == 0, spelled(e)).otherwise(F.array(number_of(e) - 1))
             )
         ),
-    ).otherwise(plain)
+    ).otherwise(F.transform("path", lambda e: number_of(e) - 1))
     short = paths.select("unit", ids.alias("ids"), keep)
 
     longest, unknown, byte_numbers = table.longest, table.unknown_score, table.byte_ids
@@ -247,10 +254,14 @@ def segment_units(units: DataFrame, table: PieceTable, keep: str) -> DataFrame:
 
 def _units(texts: pa.Array, fine: bool) -> pa.ListArray:
     """Every text's units; a line end is one of its own. A blank belongs to the unit after it."""
-    marked = pc.binary_join_element_wise("", pc.replace_substring(texts, " ", SPACE), SPACE)
-    marked = pc.if_else(pc.equal(texts, ""), "", marked)
-    lines = pc.replace_substring(marked, "\n", " \n ")
-    spaced = pc.replace_substring_regex(lines, f"([^ {SPACE}]){SPACE}", f"\\1 {SPACE}")
+    odd = pc.match_substring_regex(texts, f"  |^ |{SPACE}")
+    if pc.any(odd).as_py():  # a blank that follows a blank does not begin a unit
+        marked = pc.binary_join_element_wise("", pc.replace_substring(texts, " ", SPACE), SPACE)
+        spaced = pc.replace_substring_regex(marked, f"([^{SPACE}]){SPACE}", f"\\1 {SPACE}")
+    else:
+        spaced = pc.binary_join_element_wise("", pc.replace_substring(texts, " ", " " + SPACE), SPACE)
+    spaced = pc.if_else(pc.equal(texts, ""), "", spaced)
+    spaced = pc.replace_substring(spaced, "\n", " \n ")
     if fine:
         # A character can end one match and begin the next, so the two kinds of border take turns.
         spaced = pc.replace_substring_regex(spaced, f"([{_LETTER}])([^{_LETTER} {SPACE}])", "\\1 \\2")
@@ -400,14 +411,14 @@ def encode_pieces(
             raise RuntimeError("a partition changed between two reads; write the input first")
         starts, counts = (np.cumsum(counts) - counts)[order], counts[order]
         flat = flat.astype("<u4")
-        for row in rows:
+        while rows:
+            row = rows.pop(0)
             codes, sizes = _unpack(row["codes"])
-            own = counts[codes]
-            data = gather(flat, starts[codes], own).tobytes()
-            before = np.concatenate([[0], np.cumsum(own)])
-            ends = before[np.concatenate([[0], np.cumsum(sizes)])].tolist()
-            for owner, a, b in zip(row["owners"], ends, ends[1:]):
-                yield owner, b - a, bytearray(data[4 * a : 4 * b])
+            ends = np.cumsum(sizes)
+            for owner, a, b in zip(row["owners"], (ends - sizes).tolist(), ends.tolist()):
+                own = codes[a:b]
+                found = gather(flat, starts[own], counts[own])
+                yield owner, len(found), bytearray(found.tobytes())
 
     schema = StructType(
         [StructField(id_col, id_type), StructField("n_pieces", LongType()), StructField("ids", BinaryType())]
