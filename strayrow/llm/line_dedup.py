@@ -2,16 +2,16 @@
 
 For every host, the pages that contain a line are counted and divided by the host's pages. A line
 is boilerplate of the host if that share exceeds ``ratio`` and at least ``least`` pages hold it;
-every page of the host loses it. Lines are compared without blanks, tabs and carriage returns at
+every page of the host loses it. Rows of a host with equal texts are one page, so that a page does
+not lose its lines to its own copies. Lines are compared without blanks, tabs and carriage returns at
 their ends, by a 64-bit hash; lines that are empty then are never dropped.
 
 A host has at most (lines per page) / ratio boilerplate lines, so each host's hashes travel as one
 array. Hosts are attached to the rows by ``functions.skew.attach``: all by broadcast if their
 hashes are counted and few, else hot hosts by broadcast and the rest by a salted join.
 
-Edge cases: rows without a host form one host; a null text stays null and counts as a page without
-lines; a text that loses all its lines becomes empty, its row stays; repeated rows count one by
-one; an empty table gives an empty table; other columns stay as they are.
+Edge cases: rows without a host form one host; a null text stays null and is no page; a text that
+loses all its lines becomes empty, its row stays; an empty table gives an empty table; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strayrow.functions.materialize import pin
+from strayrow.functions.materialize import pin, pin_table
 from strayrow.functions.skew import attach
 
 RATIO = 0.01
@@ -43,13 +43,19 @@ def boilerplate(
     hashes = F.transform(
         F.filter(_lines("text"), lambda x: _trimmed(x) != ""), lambda x: F.xxhash64(_trimmed(x))
     )
+    pages = pin_table(
+        slim.where(F.col("text").isNotNull())
+        .select("host", F.xxhash64("text").alias("page"), F.array_distinct(hashes).alias("lines"))
+        .dropDuplicates(["host", "page"]),
+        "pages",
+    )
     by_line = (
-        slim.select("host", F.explode(F.array_distinct(hashes)).alias("line"))
+        pages.select("host", F.explode("lines").alias("line"))
         .groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("pages"))
         .where(F.col("pages") >= least)
     )
-    totals = slim.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     # Hosts with no line that often drop out in the join; a hot host is one row here.
     return by_line.join(totals, by_line["host"].eqNullSafe(totals["host"])).select(
         by_line["host"], "line", "pages", "host_pages"

@@ -108,8 +108,9 @@ WITH docs AS (SELECT row_number() OVER () AS rid, * FROM documents), lines AS (
   FROM docs WHERE text IS NOT NULL
 ), keyed AS (
   SELECT *, trim(l, ' ' || chr(9) || chr(13)) AS t FROM lines
-), totals AS (SELECT source, count(*) AS pages FROM docs GROUP BY source), often AS (
-  SELECT source, t, count(DISTINCT rid) AS n FROM keyed WHERE t <> '' GROUP BY source, t
+), totals AS (SELECT source, count(DISTINCT text) AS pages FROM docs GROUP BY source), often AS (
+  SELECT keyed.source, t, count(DISTINCT docs.text) AS n FROM keyed JOIN docs USING (rid) WHERE t <> ''
+  GROUP BY keyed.source, t
 ), bad AS (
   SELECT often.source, t FROM often JOIN totals ON often.source IS NOT DISTINCT FROM totals.source
   WHERE n >= {LEAST} AND n > pages * CAST({RATIO} AS DOUBLE)

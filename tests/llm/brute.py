@@ -71,9 +71,9 @@ def without_boilerplate(rows, ratio: float, least: int) -> list[str | None]:
     """Texts of (host, text) rows without lines that too many of the host's rows hold."""
     trim = lambda line: line.strip(" \t\r")
     pages, with_line = {}, {}
-    for host, text in rows:
+    for host, text in {r for r in rows if r[1] is not None}:  # equal texts are one page
         pages[host] = pages.get(host, 0) + 1
-        for line in {trim(x) for x in (text or "").split("\n")} - {""}:
+        for line in {trim(x) for x in text.split("\n")} - {""}:
             with_line[host, line] = with_line.get((host, line), 0) + 1
     bad = {k for k, n in with_line.items() if n >= least and n > pages[k[0]] * ratio}
     return [

@@ -205,6 +205,12 @@ def test_line_dedup_equals_a_plain_version(spark):
     assert counts[100] == (0, 0) and counts[101] == (1, 0) and counts[103] == (1, 1) and counts[102] == (1, 0)
 
 
+def test_copies_do_not_take_each_others_lines(spark):
+    rows = [(k, "a page\nthat was copied\nmenu", "a") for k in range(9)] + [(20 + k, f"own {k}\nmenu", "a") for k in range(9)]
+    cleaned = line_dedup.drop_boilerplate(docs(spark, rows), ratio=0.2, least=3).collect()
+    assert {r["text"] for r in cleaned} == {"a page\nthat was copied", *[f"own {k}" for k in range(9)]}
+
+
 def test_line_dedup_without_broadcast_is_the_same(spark, sf, monkeypatch):
     table = spark.read.parquet(f"{sf}/documents.parquet").withColumn("source", F.lit("one").alias("source"))
     both = []
