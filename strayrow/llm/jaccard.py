@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 from strayrow.functions.materialize import pin, pin_table
 from strayrow.functions.skew import attach
 from strayrow.llm.components import components
-from strayrow.llm.texts import raw
+from strayrow.llm.texts import give_back, raw
 
 SHINGLE = 5
 SIMILARITY = (4, 5)
@@ -174,6 +174,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den:
                 ],
                 names=["id", "n_shingles", "node", "keys"],
             )
+            give_back()
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = slim.dtypes[0][1]
@@ -208,6 +209,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size
                 ],
                 names=["node", "n", "bits", "shingles"],
             )
+            give_back()
 
     wanted = ids.select(F.col("id").alias("_id"))
     if wanted.count() <= BROADCAST_IDS:
@@ -322,6 +324,7 @@ def _across(rows: DataFrame, num: int, den: int, best: bool) -> DataFrame:
                 held.append(row)
         if len(held) > 1:
             yield flush()
+        give_back()
 
     dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     columns = dealt.select("key", "lo", "hi", "node", "component", "n", "block", "bits")
@@ -336,22 +339,45 @@ def _renamed(labels: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def _tiles_of_components(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """What ``_across`` reads: tiles with several components, in blocks of bounded size."""
+def _sharing_enough(tiles: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
+    """The rows of nodes that share as many tiles of the band as any partner would share with them."""
+    band = F.col("key").bitwiseAND(BAND_MASK)
+    counted = (
+        tiles.repartition("node")
+        .join(nodes.select("node", "n"), "node")
+        .withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("node", band)))
+    )
+    return counted.where(F.col("count") >= bands.least_shared(F.col("n"), band)).select(tiles.columns)
+
+
+def _tiles_of_components(
+    shared: DataFrame, labels: DataFrame, sets: DataFrame, nodes: DataFrame, bands: Bands, best: bool
+) -> DataFrame:
+    """What ``_across`` reads: tiles with several components, in blocks of bounded size; with
+    ``best`` one node for each component, another one in each tile.
+
+    A pair that is still apart and not yet decided shares only tiles of several components with
+    three nodes or more, and as many as any pair; nodes with fewer of those go.
+    """
     tile = Window.partitionBy("key")
-    known = (
-        shared.join(labels, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-        .withColumns(
-            {
-                "least": F.min("component").over(tile),
-                "most": F.max("component").over(tile),
-                "count": F.count(F.lit(1)).over(tile),
-            }
-        )
-        # Two nodes have been compared already; nodes of one component need not be.
-        .where((F.col("least") < F.col("most")) & (F.col("count") > 2))
+    ends = {
+        "least": F.min("component").over(tile),
+        "most": F.max("component").over(tile),
+        "count": F.count(F.lit(1)).over(tile),
+    }
+
+    def mixed_tiles(rows: DataFrame, nodes_in_tile: int) -> DataFrame:
+        several = (F.col("least") < F.col("most")) & (F.col("count") >= nodes_in_tile)
+        return rows.withColumns(ends).where(several)
+
+    labelled = shared.join(labels, "node", "left").select(
+        "key", "node", F.coalesce("component", "node").alias("component")
     )
+    apart = mixed_tiles(labelled, 3).select("key", "node", "component")
+    known = mixed_tiles(_sharing_enough(apart, nodes, bands), 2)
+    if best:
+        one = F.min_by("node", F.xxhash64("key", "node")).alias("node")
+        known = known.groupBy("key", "component").agg(one).withColumn("count", ends["count"])
     order = Window.partitionBy("key").orderBy("node")
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     return (
@@ -366,10 +392,10 @@ def _tiles_of_components(shared: DataFrame, labels: DataFrame, sets: DataFrame)
 
 
 def _join_components(
-    labels: DataFrame, shared: DataFrame, sets: DataFrame, num: int, den: int, best: bool
+    labels: DataFrame, tiles: DataFrame, sets: DataFrame, num: int, den: int, best: bool
 ) -> DataFrame:
     """Labels after the pairs of ``_across`` have been decided."""
-    found = _across(_tiles_of_components(shared, labels, sets), num, den, best)
+    found = _across(tiles, num, den, best)
     if best:
         top = found.groupBy("from", "to").agg(F.max(F.struct("bound", "a", "b")).alias("p"))
         pairs = top.select("p.a", "p.b", "from", "to")
@@ -410,16 +436,9 @@ def similar_groups(
     ends = {"leader": F.min("node").over(tile), "last": F.max("node").over(tile)}
     shared = tiles.withColumns(ends).where(F.col("leader") < F.col("last")).select("key", "node")
     bands = Bands(num, den)
-    own_band = F.col("key").bitwiseAND(BAND_MASK)
     for _ in range(ROUNDS):
-        counted = (
-            pin_table(shared, "tiles")
-            .repartition("node")
-            .join(nodes.select("node", "n"), "node")
-            .withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("node", own_band)))
-        )
-        enough = counted.where(F.col("count") >= bands.least_shared(F.col("n"), own_band))
-        shared = enough.select("key", "node").withColumns(ends).where(F.col("leader") < F.col("last"))
+        enough = _sharing_enough(pin_table(shared, "tiles"), nodes, bands).select("key", "node")
+        shared = enough.withColumns(ends).where(F.col("leader") < F.col("last"))
     shared = pin_table(shared.select("key", "node", "leader").distinct(), "tiles")
     first = shared.where(F.col("node") != F.col("leader")).select(
         F.col("leader").alias("a"), F.col("node").alias("b")
@@ -431,7 +450,8 @@ def similar_groups(
 
     # First the best pair of every two components; then all pairs that are still apart.
     for best in (True, False):
-        labels = _join_components(labels, shared, sets, num, den, best)
+        tiles = _tiles_of_components(shared, labels, sets, nodes, bands, best)
+        labels = _join_components(labels, tiles, sets, num, den, best)
 
     named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
