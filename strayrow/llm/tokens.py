@@ -22,9 +22,9 @@ from strayrow.llm.texts import give_back
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-REMEMBERED = 800_000
+REMEMBERED = 900_000
 REMEMBERED_LENGTH = 64
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 12_000_000
 RUN = 8_192
 
 _SPACES = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -133,7 +133,9 @@ class PieceEncoder:
 
     def _chunk(self, texts: pa.Array) -> list[bytes]:
         cut = self._pieces(texts)
-        coded = cut.values.slice(cut.offsets[0].as_py()).dictionary_encode()
+        offsets = cut.offsets.to_numpy().copy()
+        coded = cut.values.slice(int(offsets[0])).dictionary_encode()
+        del cut
         memory, pieces = self.memory, coded.dictionary
         places = memory.places(pieces)
         new = np.flatnonzero(places < 0)
@@ -150,13 +152,12 @@ class PieceEncoder:
         del flat, starts, counts, own
         memory.learn(missed, new_flat, new_counts)
         before = np.concatenate([[0], np.cumsum(sizes)])
-        offsets = cut.offsets.to_numpy()
         ends = (4 * before[offsets - offsets[0]]).tolist()
         return [data[a:b] for a, b in zip(ends, ends[1:])]
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of each text, in order; a null or empty text has none."""
-        texts = pc.fill_null(texts, "")
+        texts = pc.fill_null(texts, "") if texts.null_count else texts
         sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
         at = 0
         while at < len(texts):
