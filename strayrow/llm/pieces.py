@@ -9,12 +9,12 @@ grouped by unit, and Spark's ``aggregate`` folds them from left to right (Viterb
 place the best score and its last piece. Of equal scores the one with the longer last piece wins.
 A character without a piece is an edge at a penalty and becomes the pieces of its UTF-8 bytes.
 
-Texts do not travel. A task turns the texts of its partition into numbers of their distinct units;
-the units are grouped with the list of the partitions that hold them, segmented once, and sent back
-packed by partition, where the partition's numbers (made again from the input) are zipped with them.
-So the input must give equal partitions each time (files do; write other inputs first); a checksum
-of every partition's units is compared, and a difference is an error. A unit's list has one entry for
-each partition at most.
+Texts do not travel. A task turns the texts of its partition into numbers of their distinct units, by
+rank of their frequency; the units are grouped with the list of the partitions that hold them,
+segmented once, and sent back packed by partition, to meet the compressed numbers (made again from
+the input) of the partition. So the input must give equal partitions each time (files do; write
+other inputs first); a checksum of every partition's units is compared, and a difference is an error.
+A unit's list has one entry for each partition at most.
 
 A model of either kind gives the piece table. The scores of a byte-pair model are ranks; the result
 is then the segmentation with the best sum of scores, as the library gives for the same table as a
@@ -41,9 +41,8 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from strayrow.llm.texts import raw
+from strayrow.llm.texts import give_back, raw
 from strayrow.llm.tokens import gather
 
 SPACE = "▁"
@@ -270,43 +269,50 @@ def _units(texts: pa.Array, fine: bool) -> pa.ListArray:
 
 
 class _Block:
-    """The texts of one partition as numbers of its distinct units."""
+    """The texts of one partition as numbers of its distinct units, the most frequent first."""
 
     def __init__(self, batches: Iterator[pa.RecordBatch], fine: bool):
-        self.owners, self.codes, self.sizes = [], [], []
-        held = [pa.array([], pa.string())]
+        self.owners: list[pa.Array] = []
+        held, codes, sizes, total = [pa.array([], pa.string())], [np.zeros(0, "<u4")], [np.zeros(0, "<u4")], 0
         for batch in batches:
             cut = _units(pc.fill_null(batch.column(1), ""), fine)
-            coded = cut.values.slice(cut.offsets[0].as_py()).dictionary_encode()
+            offsets = cut.offsets.to_numpy()
+            coded = cut.values.slice(int(offsets[0])).dictionary_encode()
             found = pc.index_in(coded.dictionary, value_set=pa.concat_arrays(held)).fill_null(-1)
             places = found.to_numpy().copy()
             new = np.flatnonzero(places < 0)
-            before = sum(map(len, held))
-            places[new] = before + np.arange(len(new))
+            places[new] = total + np.arange(len(new))
+            total += len(new)
             held.append(coded.dictionary.take(pa.array(new)))
             self.owners.append(batch.column(0))
-            self.codes.append(places[coded.indices.to_numpy()].astype("<u4").tobytes())
-            self.sizes.append(np.diff(cut.offsets.to_numpy()))
-        self.units = pa.concat_arrays(held)
+            codes.append(places[coded.indices.to_numpy()].astype("<u4"))
+            sizes.append(np.diff(offsets).astype("<u4"))
+        codes, self.sizes = np.concatenate(codes), np.concatenate(sizes)
+        order = np.argsort(-np.bincount(codes, minlength=total), kind="stable")
+        rank = np.empty(total, "<u4")
+        rank[order] = np.arange(total)
+        self.codes = rank[codes]
+        self.units = pa.concat_arrays(held).take(pa.array(order))
 
     def checksum(self) -> int:
         return _combined(np.array([zlib.crc32(u) for u in raw(self.units)], "<u4"))
 
 
-def _pack(table: pa.Table) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(
-        b"".join(
-            len(a).to_bytes(8, "little") + a
-            for a in (np.asarray(c, "<u4").tobytes() for c in table)
-        )
-    )
+def _pack(arrays) -> bytes:
+    """Arrays of unsigned 32-bit integers, compressed byte by byte of the integers."""
+    parts = []
+    for column in arrays:
+        data = np.ascontiguousarray(np.asarray(column, "<u4")).view(np.uint8)
+        parts += [len(data).to_bytes(8, "little"), data.reshape(-1, 4).T.tobytes()]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
-    data, at, arrays = zstandard.ZstdDecompressor().decompress(bytes(data)), 0, []
+    data, at, arrays = zstandard.ZstdDecompressor().decompress(data), 0, []
     while at < len(data):
         size = int.from_bytes(data[at : at + 8], "little")
-        arrays.append(np.frombuffer(data, "<u4", size // 4, at + 8).astype(np.int64))
+        planes = np.frombuffer(data, np.uint8, size, at + 8).reshape(4, -1)
+        arrays.append(np.ascontiguousarray(planes.T).view("<u4").ravel())
         at += 8 + size
     return arrays
 
@@ -318,7 +324,7 @@ def encode_pieces(
     fine = table.fine
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    id_type = slim.schema[0].dataType
+    kind = slim.dtypes[0][1]
 
     def units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = _Block(batches, fine).units
@@ -335,18 +341,21 @@ def encode_pieces(
             )
 
     def codes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each batch; the first has the checksum, the last comes with all units."""
         block = _Block(batches, fine)
-        for owners, codes, sizes in zip(block.owners, block.codes, block.sizes):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([len(block.units)], pa.int64()),
-                    pa.array([block.checksum()], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array([0, len(owners)], pa.int32()), owners),
-                    pa.array([_pack([np.frombuffer(codes, "<u4"), sizes])], pa.binary()),
-                ],
-                names=["n_units", "checksum", "owners", "codes"],
-            )
+        if not block.owners:
+            return
+        owners = pa.concat_arrays(block.owners)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([TaskContext.get().partitionId()], pa.int32()),
+                pa.array([len(block.units)], pa.int64()),
+                pa.array([block.checksum()], pa.int64()),
+                pa.ListArray.from_arrays(pa.array([0, len(owners)], pa.int32()), owners),
+                pa.array([_pack([block.codes, block.sizes])], pa.binary()),
+            ],
+            names=["part", "n_units", "checksum", "owners", "codes"],
+        )
+        give_back()
 
     # Many partitions, since every unit grows to all its substrings before it is one row again.
     partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -384,46 +393,43 @@ def encode_pieces(
                 )
 
     back = returned.mapInArrow(packed, "part int, data binary")
-    texts = slim.mapInArrow(codes_of, f"n_units long, checksum long, owners array<{slim.dtypes[0][1]}>, codes binary")
-    # The partitions' numbers stay where they are made; only segmentations are dealt out.
-    left = texts.rdd.mapPartitions(lambda rows: [list(rows)])
-    count = left.getNumPartitions()
-    right = (
-        back.rdd.map(lambda r: (r["part"], r["data"]))
-        .partitionBy(max(1, count), lambda part: part)
-        .mapPartitions(lambda rows: [[data for _, data in rows]])
+    texts = slim.mapInArrow(
+        codes_of, f"part int, n_units long, checksum long, owners array<{kind}>, codes binary"
     )
-    if right.getNumPartitions() > count:  # a context may be set to deal out more finely
-        more = right.getNumPartitions() - count
-        left = left.union(spark.sparkContext.parallelize([[]] * more, more))
 
-    def put_together(pair) -> Iterator[tuple]:
+    def put_together(packs: pa.Table, blocks: pa.Table) -> pa.Table:
         """One partition: ids by place of the unit, then the ids of each text."""
-        rows, packs = pair
-        if not rows:
-            return
-        parts = [_unpack(p) for p in packs]
-        places, crcs, counts, flat = (
-            np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]) for k in range(4)
-        )
+        parts = [_unpack(p) for p in packs["data"].to_pylist()]
+        none = np.zeros(0, "<u4")
+        places, crcs, counts, flat = (np.concatenate([none, *(p[k] for p in parts)]) for k in range(4))
+        del parts
         order = np.argsort(places)
-        if len(places) != rows[0]["n_units"] or _combined(crcs[order]) != rows[0]["checksum"]:
+        found = [] if not blocks.num_rows else [(blocks["n_units"][0].as_py(), blocks["checksum"][0].as_py())]
+        if found != [(len(places), _combined(crcs[order]))]:
             raise RuntimeError("a partition changed between two reads; write the input first")
-        starts, counts = (np.cumsum(counts) - counts)[order], counts[order]
-        flat = flat.astype("<u4")
-        while rows:
-            row = rows.pop(0)
-            codes, sizes = _unpack(row["codes"])
-            ends = np.cumsum(sizes)
-            for owner, a, b in zip(row["owners"], (ends - sizes).tolist(), ends.tolist()):
-                own = codes[a:b]
-                found = gather(flat, starts[own], counts[own])
-                yield owner, len(found), bytearray(found.tobytes())
-
-    schema = StructType(
-        [StructField(id_col, id_type), StructField("n_pieces", LongType()), StructField("ids", BinaryType())]
+        starts = (np.cumsum(counts, dtype=np.int64) - counts)[order]
+        counts = counts[order].astype(np.int64)
+        codes, sizes = _unpack(blocks["codes"][0].as_py())
+        ends = np.cumsum(sizes, dtype=np.int64)
+        ids, lengths = [], []
+        for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+            own = codes[a:b]
+            text = gather(flat, starts[own], counts[own])
+            ids.append(text.tobytes())
+            lengths.append(len(text))
+        return pa.table(
+            {
+                id_col: blocks["owners"].combine_chunks().flatten(),
+                "n_pieces": pa.array(lengths, pa.int64()),
+                "ids": pa.array(ids, pa.binary()),
+            }
+        )
+
+    return (
+        back.groupBy("part")
+        .cogroup(texts.groupBy("part"))
+        .applyInArrow(put_together, f"`{id_col}` {kind}, n_pieces long, ids binary")
     )
-    return spark.createDataFrame(left.zip(right).flatMap(put_together), schema, verifySchema=False)
 
 
 def _combined(crcs: np.ndarray) -> int:
