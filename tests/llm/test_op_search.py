@@ -93,7 +93,25 @@ def test_similar_sets_share_a_tile(seed, size, similarity):
     cut = rng.integers(0, extra + 1)
     others = rng.integers(0, 2**63, extra).astype(np.uint64)
     a, b = np.unique(np.append(common, others[:cut])), np.unique(np.append(common, others[cut:]))
-    assert set(jaccard.tile_keys(a, bands).tolist()) & set(jaccard.tile_keys(b, bands).tolist())
+    both = [int(k) for k in set(jaccard.tile_keys(a, bands).tolist()) & set(jaccard.tile_keys(b, bands).tolist())]
+    assert both
+    # In a band where both stand they share as many tiles as the pruning asks of either.
+    band = bands.of(max(len(a), len(b)))[0]
+    shared = sum(k & jaccard.BAND_MASK == band for k in both)
+    for n in (len(a), len(b)):
+        partner = min(bands.edges[band + 1] - 1, n * den // num)
+        asked = bands.differ[band] + 1 + bands.extra[band] - (n + partner) * (den - num) // (den + num)
+        assert shared >= asked
+
+
+def test_least_shared_is_what_the_property_asks(spark):
+    bands = jaccard.Bands(4, 5)
+    rows = [(n, b) for n in (1, 7, 50, 400, 6000) for b in bands.of(n)]
+    frame = spark.createDataFrame(rows, "n long, band long")
+    got = frame.select("n", "band", bands.least_shared(F.col("n"), F.col("band")).alias("need")).collect()
+    for n, band, need in got:
+        partner = min(bands.edges[band + 1] - 1, n * 5 // 4)
+        assert need == bands.differ[band] + 1 + bands.extra[band] - (n + partner) // 9
 
 
 @settings(max_examples=60, deadline=None)
