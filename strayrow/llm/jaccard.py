@@ -484,10 +484,10 @@ def keep_one(
     lone = first.where(F.col("rows") == 1).select("_id")
     if lone.count() <= BROADCAST_IDS:
         lone = F.broadcast(lone)
-    stay = docs.join(lone, F.col(id_col) == F.col("_id"), "left_semi")
+    stay = docs.join(lone, docs[id_col] == lone["_id"], "left_semi")
     stay = stay.unionByName(docs.where(F.col(id_col).isNull()))
     repeated = first.where(F.col("rows") > 1).select("_id")
     if repeated.isEmpty():
         return stay
-    twice = docs.join(repeated, F.col(id_col) == F.col("_id"), "left_semi")
+    twice = docs.join(repeated, docs[id_col] == repeated["_id"], "left_semi")
     return stay.unionByName(twice.dropDuplicates([id_col, text_col]))

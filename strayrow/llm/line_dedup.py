@@ -82,30 +82,31 @@ def drop_boilerplate(
     )
     total = hosts.agg(F.sum(F.size("_lines")).alias("n"), F.count(F.lit(1)).alias("hosts")).first()
     per_host = max(1, (total["n"] or 0) // max(1, total["hosts"]))
-    keyed = docs.withColumns(
-        {
-            "_host": F.coalesce(F.col(host_col).cast("string"), F.lit("")),
-            "_no_host": F.col(host_col).isNull(),
-        }
+    # The row travels as one column, so that no name of its own can clash.
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("")).alias("_host"),
+        F.col(f"`{host_col}`").isNull().alias("_no_host"),
     )
     with_lines = attach(
         keyed, hosts, ["_host", "_no_host"], ["_lines"], "_pages", BROADCAST_HASHES // per_host
     )
-    text = F.col(text_col).cast("string")
+    text = F.col("_row").getField(text_col).cast("string")
     lines = F.split(text, "\n", -1)
     kept = F.filter(
         lines, lambda x: (_trimmed(x) == "") | ~F.array_contains("_lines", F.xxhash64(_trimmed(x)))
     )
     untouched = F.col("_lines").isNull()
-    out = [
-        F.when(untouched, text).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(f"`{c}`")
-        for c in docs.columns
-    ]
+    n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
+    n_kept = F.when(untouched, n_lines).otherwise(F.coalesce(F.size(kept), F.lit(0)).cast("long"))
+    zero = F.lit(0).cast("long")
+    cleaned = with_lines.select(
+        "_row",
+        F.when(untouched, text).otherwise(F.array_join(kept, "\n")).alias("_text"),
+        F.when(text.isNull(), zero).otherwise(n_lines).alias("_n_lines"),
+        F.when(text.isNull(), zero).otherwise(n_lines - n_kept).alias("_n_dropped"),
+    )
+    out = [(F.col("_text") if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns]
     if counts:
-        n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-        n_kept = F.when(untouched, n_lines).otherwise(F.coalesce(F.size(kept), F.lit(0)).cast("long"))
-        out += [
-            F.when(text.isNull(), F.lit(0).cast("long")).otherwise(n_lines).alias("n_lines"),
-            F.when(text.isNull(), F.lit(0).cast("long")).otherwise(n_lines - n_kept).alias("n_dropped"),
-        ]
-    return with_lines.select(*out)
+        out += [F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped")]
+    return cleaned.select(*out)
