@@ -39,8 +39,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @shipped
 def line_dedup_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on too many documents of a source go; ``n_chars`` follows the text."""
-    cleaned = line_dedup.drop_boilerplate(docs, "source", "text")
+    """Lines on too many documents of a source go; ``n_chars`` follows the text.
+
+    Documents that ``near_duplicates`` takes for copies count as one: else they would take each
+    other's lines, and none would be left whole for it to keep.
+    """
+    copies = (jaccard.SHINGLE, jaccard.SIMILARITY)
+    cleaned = line_dedup.drop_boilerplate(docs, "source", "text", copies=copies)
     if "n_chars" not in cleaned.columns:
         return cleaned
     return cleaned.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))

@@ -3,8 +3,10 @@
 For every host, the pages that contain a line are counted and divided by the host's pages. A line
 is boilerplate of the host if that share exceeds ``ratio`` and at least ``least`` pages hold it;
 every page of the host loses it. Rows of a host with equal texts are one page, so that a page does
-not lose its lines to its own copies. Lines are compared without blanks, tabs and carriage returns at
-their ends, by a 64-bit hash; lines that are empty then are never dropped.
+not lose its lines to its own copies. With ``copies``, near copies are one page too: the rows of a
+host in one group of ``jaccard.similar_groups``, which links texts by the similarity of their word
+shingles. Lines are compared without blanks, tabs and carriage returns at their ends, by a 64-bit
+hash; lines that are empty then are never dropped.
 
 A host has at most (lines per page) / ratio boilerplate lines, so each host's hashes travel as one
 array. Hosts are attached to the rows by ``functions.skew.attach``: all by broadcast if their
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from strayrow.functions.materialize import pin, pin_table
 from strayrow.functions.skew import attach
+from strayrow.llm.jaccard import similar_groups
 
 RATIO = 0.01
 LEAST = 3
@@ -35,8 +38,25 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r"))
 
 
+def _near_copies(texts: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """``page`` and ``group`` of the pages whose group has another page."""
+    keyed = texts.select(F.xxhash64("text").alias("page"), "text")
+    groups = similar_groups(keyed, shingle, similarity, "page", "text")
+    # A group's name is its smallest page, which needs no row here.
+    return pin(
+        groups.where(F.col("page") != F.col("component_id"))
+        .groupBy("page")
+        .agg(F.min("component_id").alias("group"))
+    )
+
+
 def boilerplate(
-    docs: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, least: int = LEAST
+    docs: DataFrame,
+    host_col: str,
+    text_col: str,
+    ratio: float = RATIO,
+    least: int = LEAST,
+    copies: tuple[int, tuple[int, int]] | None = None,
 ) -> DataFrame:
     """Host, line hash, pages with the line and pages of the host, where the share is too large."""
     slim = docs.select(F.col(host_col).alias("host"), F.col(text_col).cast("string").alias("text"))
@@ -49,13 +69,20 @@ def boilerplate(
         .dropDuplicates(["host", "page"]),
         "pages",
     )
+    count = F.count(F.lit(1))
+    if copies is not None:
+        near = _near_copies(slim.select("text"), *copies)
+        pages = pages.join(near, "page", "left").select(
+            "host", F.coalesce("group", "page").alias("page"), "lines"
+        )
+        count = F.count_distinct("page")
     by_line = (
-        pages.select("host", F.explode("lines").alias("line"))
+        pages.select("host", "page", F.explode("lines").alias("line"))
         .groupBy("host", "line")
-        .agg(F.count(F.lit(1)).alias("pages"))
+        .agg(count.alias("pages"))
         .where(F.col("pages") >= least)
     )
-    totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    totals = pages.groupBy("host").agg(count.alias("host_pages"))
     # Hosts with no line that often drop out in the join; a hot host is one row here.
     return by_line.join(totals, by_line["host"].eqNullSafe(totals["host"])).select(
         by_line["host"], "line", "pages", "host_pages"
@@ -69,11 +96,12 @@ def drop_boilerplate(
     ratio: float = RATIO,
     least: int = LEAST,
     counts: bool = False,
+    copies: tuple[int, tuple[int, int]] | None = None,
 ) -> DataFrame:
     """The rows with boilerplate lines cut out of the text; ``counts`` adds ``n_lines`` and
-    ``n_dropped``."""
+    ``n_dropped``; ``copies`` (shingle, similarity) counts near copies as one page."""
     hosts = pin(
-        boilerplate(docs, host_col, text_col, ratio, least)
+        boilerplate(docs, host_col, text_col, ratio, least, copies)
         .groupBy("host")
         .agg(F.collect_list("line").alias("lines"), F.first("host_pages").alias("pages"))
         .select(F.coalesce(F.col("host").cast("string"), F.lit("")).alias("_host"),

@@ -211,6 +211,22 @@ def test_copies_do_not_take_each_others_lines(spark):
     assert {r["text"] for r in cleaned} == {"a page\nthat was copied", *[f"own {k}" for k in range(9)]}
 
 
+def edited_copies(n):
+    """``n`` copies of a text of 20 lines, each with another word of its own in one line."""
+    lines = [" ".join(f"w{k}x{j}" for j in range(8)) for k in range(20)]
+    return ["\n".join([*lines[: k % 20], lines[k % 20] + f" edit{k}", *lines[k % 20 + 1 :], "menu"]) for k in range(n)]
+
+
+def test_near_copies_do_not_take_each_others_lines(spark):
+    copies = edited_copies(30)
+    rows = [(k, t, "a") for k, t in enumerate(copies)] + [(None, copies[0], "a"), (3, copies[4], "b"), (40, None, "a")]
+    rows += [(100 + k, f"own {k}\nmenu", "a") for k in range(20)]
+    cleaned = line_dedup.drop_boilerplate(docs(spark, rows), copies=(5, (4, 5))).collect()
+    got = sorted((r["source"], r["text"]) for r in cleaned if r["text"] is not None)
+    want = [("a", t.removesuffix("\nmenu")) for t in [*copies, copies[0], *(f"own {k}" for k in range(20))]]
+    assert got == sorted([*want, ("b", copies[4])]) and len(cleaned) == len(rows)
+
+
 def test_line_dedup_without_broadcast_is_the_same(spark, sf, monkeypatch):
     table = spark.read.parquet(f"{sf}/documents.parquet").withColumn("source", F.lit("one").alias("source"))
     both = []

@@ -77,3 +77,13 @@ def test_stages_on_odd_rows(spark):
             result = spark.read.parquet(path)
             if name != "best_fit_packing":
                 assert result.dtypes == docs.dtypes
+
+
+def test_one_of_many_edited_copies_stays_whole(spark):
+    lines = [" ".join(f"w{k}x{j}" for j in range(8)) for k in range(20)]
+    texts = ["\n".join([*lines[:k], lines[k] + f" edit{k}", *lines[k + 1 :]]) for k in range(12)]
+    schema = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").schema
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    cleaned = corpus_pipeline.line_dedup_by_source(spark, spark.createDataFrame(rows, schema), "")
+    kept = corpus_pipeline.near_duplicates(spark, cleaned, "").collect()
+    assert [r["text"] for r in kept] == texts[:1]
