@@ -278,6 +278,25 @@ def test_repeated_runs_of_a_host_go_and_unique_ones_stay(spark):
     assert got[10]["text"] == menu and got[10]["n_boilerplate"] == 9  # an article stays whole
 
 
+@pytest.mark.parametrize("name", [
+    "content-sidebar-wrap", "elementor-widget-container", "search-result-text", "post-related-content", "form-wrapper",
+])
+def test_names_of_content_wrappers_do_not_silence_it(name):
+    for page in (f"<div class='{name}'>text</div>", f"<article><div class='{name}'>text</div></article>",
+                 f"<div id='{name}'><main>text</main></div>"):
+        assert [t for kind, t in html_text.read_blocks(page) if kind != "out"] == ["text"]
+
+
+def test_compound_names_around_an_article_do_not_silence_it():
+    def kinds(page):
+        return [kind for kind, _ in html_text.read_blocks(page)]
+
+    assert kinds("<div class=content-sidebar>a<article>b</article></div>") == ["out", "main"]
+    assert kinds("<main><div class=content-sidebar>a<article>b</article></div></main>") == ["out", "main"]
+    assert kinds("<article>a<div class=post-comments><article>b</article></div></article>") == ["main", "out"]
+    assert kinds("<div class=sidebar><article>a</article></div><p class=ad-2>b</p><p id=cookie-notice>c") == ["out"] * 3
+
+
 def test_html_equals_a_plain_extraction(spark, sf):
     got = {r["page_id"]: r for r in QUERIES["op3_html_text"](spark, sf).collect()}
     pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
