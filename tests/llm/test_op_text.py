@@ -297,6 +297,21 @@ def test_compound_names_around_an_article_do_not_silence_it():
     assert kinds("<div class=sidebar><article>a</article></div><p class=ad-2>b</p><p id=cookie-notice>c") == ["out"] * 3
 
 
+def test_a_page_at_two_urls_is_no_repetition(spark):
+    menu = "home news about contact all the other pages here"
+    page = f"<div>{menu}</div><p>one two three four five six seven eight nine ten</p>"
+    urls = ["http://a.net/1", "http://a.net/1?ref=x", "http://a.net/1/", "http://b.net/1"]
+    rows = [(k, u, page) for k, u in enumerate(urls)] + [(8, "http://a.net/1#top", page.replace("<p>", "<p data-n=7>"))]
+    text = f"{menu} one two three four five six seven eight nine ten"
+    got = extracted(spark, rows)
+    assert {(r["text"], r["n_boilerplate"]) for r in got.values()} == {(text, 0)}
+    got = extracted(spark, [*rows, (9, "http://a.net/2", f"<div>{menu}</div><p>another page")])
+    assert {k: (r["text"], r["n_boilerplate"]) for k, r in got.items() if k not in (3, 9)} == dict.fromkeys(
+        (0, 1, 2, 8), (text.removeprefix(f"{menu} "), 9)
+    )
+    assert (got[3]["text"], got[9]["text"]) == (text, "another page")
+
+
 def test_html_equals_a_plain_extraction(spark, sf):
     got = {r["page_id"]: r for r in QUERIES["op3_html_text"](spark, sf).collect()}
     pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
