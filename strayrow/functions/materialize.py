@@ -44,3 +44,29 @@ def pin_table(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+class Scratch:
+    """Tables of one run in a folder of their own below the shared one, dropped by name.
+
+    A loop keeps the table that its next round reads and drops the one before it, once the
+    successor is written whole.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self._spark = spark
+        self._folder = new_path(spark, name)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` as the table ``name`` and continue from there."""
+        path = os.path.join(self._folder, name)
+        df.write.parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later step reads."""
+        jvm = self._spark.sparkContext._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(os.path.join(self._folder, name))
+            settings = self._spark.sparkContext._jsc.hadoopConfiguration()
+            path.getFileSystem(settings).delete(path, True)
