@@ -126,3 +126,48 @@ SELECT doc_id, docs.source, cleaned.text, CAST(coalesce(n_lines, 0) AS BIGINT) A
        CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped
 FROM docs LEFT JOIN cleaned USING (rid)
 """
+
+
+def _clustering(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds, one pair of tables for each: all distances, then the floors of the means."""
+    parts = [f"""
+  kept AS MATERIALIZED (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  ), c0 AS MATERIALIZED (
+    SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS INTEGER) AS cluster, v AS c
+    FROM kept ORDER BY sha256('2:' || vec_id) LIMIT {k}
+  )"""]
+    for r in range(rounds + 1):
+        parts.append(f"""
+  a{r} AS MATERIALIZED (
+    SELECT vec_id, v, CAST(arg_min(cluster, (d, cluster)) AS INTEGER) AS cluster, min(d) AS distance
+    FROM (SELECT vec_id, v, cluster,
+                 CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+          FROM kept, c{r})
+    GROUP BY vec_id, v
+  )""")
+        if r < rounds:
+            parts.append(f"""
+  c{r + 1} AS MATERIALIZED (
+    SELECT cluster, coalesce(m.c, c{r}.c) AS c
+    FROM c{r} LEFT JOIN (
+      SELECT cluster, list(s ORDER BY i) AS c
+      FROM (SELECT cluster, i,
+                   CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS s
+            FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r})
+            GROUP BY cluster, i)
+      GROUP BY cluster) m USING (cluster)
+  )""")
+    return f"""
+WITH {",".join(parts)}
+SELECT vec_id, cluster, distance,
+       CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (cluster)
+"""
+
+
+SQL["op12_centroid_clustering"] = _clustering()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strayrow.functions.materialize import new_path
-from strayrow.llm import html_text, jaccard, licenses, line_dedup, packing, pieces, quality, token_files, topk, url_filters
+from strayrow.llm import centroids, html_text, jaccard, licenses, line_dedup, packing, pieces, quality, token_files, topk, url_filters
 from strayrow.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +115,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), counts=True)
     return cleaned.select("doc_id", "source", "text", "n_lines", "n_dropped")
+
+
+@query
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"), k=40, rounds=5, scale=256.0, dims=64)
