@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strayrow.functions.materialize import new_path
-from strayrow.llm import centroids, html_text, jaccard, licenses, line_dedup, packing, pieces, quality, token_files, topk, url_filters
+from strayrow.llm import centroids, dialogue, html_text, jaccard, licenses, line_dedup, packing, pieces, quality, token_files, topk, url_filters
 from strayrow.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,3 +120,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"), k=40, rounds=5, scale=256.0, dims=64)
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Messages dropped, emptied, cut off, repeated or given to the user, by a hash of their place."""
+    said = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    case = F.crc32(F.concat(said["conv_id"], F.lit(":"), said["turn"])) % 20
+    text = F.when(case == 1, "").when(case == 2, F.regexp_replace(said["text"], "[.!?]", "")).otherwise(said["text"])
+    return conversations.select(
+        "conv_id", "turn", F.when(case == 4, "user").otherwise(said["role"]).alias("role"), text.alias("text"),
+        F.explode(F.when(case == 0, F.array().cast("array<int>")).when(case == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    ).drop("copy")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = dialogue.digests(dialogue.repair_conversations(damaged(conversations)))
+    every = conversations.select("conv_id").distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(found, every["conv_id"].eqNullSafe(found["conv"]), "left").select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
