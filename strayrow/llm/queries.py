@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strayrow.functions.materialize import new_path
-from strayrow.llm import centroids, dialogue, html_text, jaccard, licenses, line_dedup, packing, pieces, quality, token_files, topk, url_filters
+from strayrow.llm import centroids, dialogue, html_text, jaccard, licenses, line_dedup, near_vectors, packing, pieces, quality, token_files, topk, url_filters
 from strayrow.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +117,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
+@query
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 @query
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"), k=40, rounds=5, scale=256.0, dims=64)
