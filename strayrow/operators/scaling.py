@@ -68,6 +68,7 @@ class Prepared:
     rows: DataFrame
     scaled: list[Column]
     n: int
+    moments: Moments | None = None
 
     @property
     def names(self) -> list[str]:
@@ -84,8 +85,10 @@ def matrix(batch: pd.Series | tuple[pd.Series, ...]) -> np.ndarray:
     return np.column_stack(batch if isinstance(batch, tuple) else (batch,)).astype(float)
 
 
-def prepare(df: DataFrame, features: list[str]) -> Prepared:
-    rows = median_impute(df, features)
+def prepare(
+    df: DataFrame, features: list[str], medians: dict[str, float] | None = None
+) -> Prepared:
+    rows = median_impute(df, features, medians)
     stats = rows.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(features)],
@@ -95,7 +98,7 @@ def prepare(df: DataFrame, features: list[str]) -> Prepared:
     if stats["n"] <= SPREAD_ROWS:
         # Models need much time per row: a small table must not sit in one or two partitions.
         rows = rows.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return Prepared(rows, [scaled(c, moments) for c in features], stats["n"])
+    return Prepared(rows, [scaled(c, moments) for c in features], stats["n"], moments)
 
 
 def normalized(score: Column, low: float | None, high: float | None) -> Column:

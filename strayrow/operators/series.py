@@ -70,6 +70,11 @@ def daily_series(df: DataFrame, date: str) -> DataFrame:
             F.count("anomaly").alias("total"),
         )
     )
+    return fill_days(days)
+
+
+def fill_days(days: DataFrame) -> DataFrame:
+    """``day``, ``anomalies``, ``total`` with zeros for the days between that have no row."""
     # One row per day from here on.
     spine = days.agg(F.min("day").alias("first"), F.max("day").alias("last")).select(
         F.explode(F.sequence("first", "last")).alias("day")

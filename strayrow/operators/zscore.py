@@ -53,6 +53,11 @@ def zscore_max(df: DataFrame, features: list[str], moments: Moments | None = Non
     )
 
 
+def largest_zscore(features: list[str], moments: Moments) -> Column:
+    """The largest z-score of a row, as one expression."""
+    return _largest([z_expression(c, moments) for c in features])
+
+
 def zscore_detect(df: DataFrame, features: list[str], threshold: float = 3.0) -> DataFrame:
     """Flag rows whose largest z-score is above ``threshold``.
 
@@ -60,8 +65,7 @@ def zscore_detect(df: DataFrame, features: list[str], threshold: float = 3.0) ->
     projection over ``df`` without a shuffle.
     """
     moments = column_moments(df, features)
-    largest = _largest([z_expression(c, moments) for c in features])
-    distribution = score_distribution(df, largest)
+    distribution = score_distribution(df, largest_zscore(features, moments))
     scored = zscore_max(df, features, moments)
     score = F.col("max_zscore")
     return finish(scored, score > F.lit(float(threshold)), score, distribution)
