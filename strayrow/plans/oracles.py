@@ -52,6 +52,10 @@ scored_events AS (
   SELECT *, CAST(CASE WHEN anomaly_score > 3 THEN 1 ELSE 0 END AS INTEGER) AS anomaly,
          {probability("anomaly_score")} AS anomaly_probability FROM z)"""
 
+EVENT_DAYS = f"""{EVENTS_SCORED},
+t AS (SELECT CAST(ts AS DATE) AS day, CAST(SUM(anomaly) AS BIGINT) AS anomalies, COUNT(*) AS total
+      FROM scored_events JOIN events USING (event_id) GROUP BY 1)"""
+
 FENCES = (
     USER_DAY
     + """,
@@ -309,6 +313,29 @@ SELECT c_custkey, round(s, 4) AS anomaly_score,
        CAST(CASE WHEN s > t THEN 1 ELSE 0 END AS INTEGER) AS anomaly FROM nm, th"""
 
 
+DENSITY = """
+WITH RECURSIVE s AS (
+  SELECT c_custkey, (c_acctbal - AVG(c_acctbal) OVER ()) / STDDEV_POP(c_acctbal) OVER () AS x,
+         (c_nationkey - AVG(c_nationkey) OVER ()) / STDDEV_POP(c_nationkey) OVER () AS y FROM customer),
+near AS MATERIALIZED (
+  SELECT p.c_custkey AS a, q.c_custkey AS b FROM s p, s q
+  WHERE (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= 0.1 * 0.1),
+seen AS MATERIALIZED (SELECT a, COUNT(*) AS n FROM near GROUP BY 1),
+edges AS MATERIALIZED (
+  SELECT near.a, near.b FROM near JOIN seen p ON near.a = p.a JOIN seen q ON near.b = q.a
+  WHERE p.n >= 4 AND q.n >= 4),
+reach(k, first) AS (
+  SELECT a, a FROM seen WHERE n >= 4
+  UNION SELECT edges.b, reach.first FROM reach JOIN edges ON edges.a = reach.k WHERE reach.first < edges.b),
+named AS MATERIALIZED (SELECT k, MIN(first) AS cluster FROM reach GROUP BY 1),
+beside AS (SELECT a, MIN(cluster) AS cluster FROM near JOIN named ON b = k GROUP BY 1),
+judged AS (
+  SELECT seen.a AS c_custkey, coalesce(named.cluster, beside.cluster) AS cluster, n >= 4 AS core,
+         CAST(CASE WHEN coalesce(named.cluster, beside.cluster) IS NULL THEN 1 ELSE 0 END AS INTEGER) AS anomaly,
+         10.0::DOUBLE * GREATEST(4 - n, 0) / 4.0::DOUBLE AS anomaly_score
+  FROM seen LEFT JOIN named ON seen.a = k LEFT JOIN beside ON beside.a = seen.a)"""
+
+
 # Queries ------------------------------------------------------------------------------------
 
 
@@ -544,4 +571,21 @@ def oracle_sql() -> dict[str, str]:
         "order_results": f"""{audited} SELECT user_id, event_date, round(priority_score, 6) AS priority_score,
           anomaly_probability FROM marked WHERE anomaly = 1 AND risk_tier IN ('CRITICAL', 'HIGH')
           ORDER BY priority_score DESC""",
+        "stream_score": f"""WITH {EVENTS_SCORED} SELECT event_id, event_type, value,
+          {r("anomaly_score")}, round(anomaly_score, 6) AS zscore_value, round(anomaly_score, 6) AS max_zscore,
+          anomaly, anomaly_probability, {TIER} AS risk_tier FROM scored_events""",
+        "stream_daily_rate": f"""WITH {EVENT_DAYS},
+          s AS (SELECT CAST(unnest(generate_series(MIN(day), MAX(day), INTERVAL 1 DAY)) AS DATE) AS day FROM t)
+          SELECT day, COALESCE(anomalies, 0) AS anomalies, COALESCE(total, 0) AS total,
+            COALESCE(round(anomalies / total * 100, 6), 0) AS anomaly_rate FROM s LEFT JOIN t USING (day)""",
+        "stream_alert": f"""WITH {EVENT_DAYS},
+          b AS (SELECT SUM(anomalies) / SUM(total) * 100 AS base FROM t),
+          e AS (SELECT MAX(ts) - INTERVAL 1 DAY AS watermark FROM events)
+          SELECT day, anomalies, total, round(anomalies / total * 100, 6) AS anomaly_rate,
+            round(base, 6) AS baseline_rate, round(base * 1.5, 6) AS alert_rate,
+            round(anomalies / total * 100 / base, 6) AS ratio
+          FROM t, b, e WHERE anomalies / total * 100 > base * 1.5 AND day + INTERVAL 1 DAY <= watermark""",
+        "dbscan": f"""{DENSITY} SELECT c_custkey, cluster, core, anomaly, round(anomaly_score, 6) AS anomaly_score,
+          anomaly_probability, {TIER} AS risk_tier
+          FROM (SELECT *, {probability("anomaly_score")} AS anomaly_probability FROM judged)""",
     }

@@ -11,11 +11,13 @@ from strayrow.functions import columns, ranking, sampling, tiers
 from strayrow.functions.materialize import new_path, pin_table
 from strayrow.operators import (
     audit,
+    dbscan as density,
     forest,
     funnel,
     insights,
     iqr,
     lof,
+    models,
     profiling,
     registry,
     rollup,
@@ -29,6 +31,7 @@ from strayrow.operators import (
 from strayrow.session import ship_package
 from strayrow.sources import files
 from strayrow.sources.sample import add_sample_columns
+from strayrow.streaming import detection, sinks
 
 FEATURES = ["value_sum", "event_count"]
 KEY = ["user_id", "event_date"]
@@ -671,3 +674,82 @@ def order_results(spark, sf_dir):
     marked = _audited(spark, sf_dir)[1].rows
     found = views.order_results(views.filter_results(marked, recommended_only=False))
     return rounded(found, "priority_score").select(*KEY, "priority_score", "anomaly_probability")
+
+
+# Streams
+
+
+def saved_model(spark, df, method, features, **params):
+    """A model as tomorrow's job finds it: fitted, written and read back."""
+    path = new_path(spark, "model")
+    models.fit_model(df, method, features, **params).save(spark, path)
+    return models.load_model(spark, path)
+
+
+def arriving(spark, sf_dir, folder, parts=3):
+    """Write the events into a folder in the order of their time; yields after each part of it.
+
+    Gives the stream its input only: ranges of equal length of the time they cover.
+    """
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    ends = events.agg(F.min(micros).alias("first"), F.max(micros).alias("last")).first()
+    share = F.try_divide(micros - F.lit(ends["first"]), F.lit(ends["last"]) - F.lit(ends["first"]))
+    number = F.coalesce(F.least(F.floor(share * parts), F.lit(parts - 1)), F.lit(0))
+    for i in range(parts):
+        events.where(number == i).write.mode("append").parquet(folder)
+        yield events
+
+
+def event_model(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    return saved_model(spark, events, "zscore", ["value"])
+
+
+@query
+def stream_score(spark, sf_dir):
+    model, folder, out = event_model(spark, sf_dir), new_path(spark, "events"), new_path(spark, "scored")
+    log = new_path(spark, "log")
+    for events in arriving(spark, sf_dir, folder):
+        stream = sinks.read_files(spark, folder, events.schema)
+        sinks.append_to(detection.stream_score(stream, model), out, log).awaitTermination()
+    scores = ["anomaly_score", "zscore_value", "max_zscore"]
+    return rounded(files.scan_parquet(spark, out).drop("ts"), *scores)
+
+
+@query
+def stream_daily_rate(spark, sf_dir):
+    model, folder, log = event_model(spark, sf_dir), new_path(spark, "events"), new_path(spark, "log")
+    rates = sinks.BatchTable(new_path(spark, "rates"))
+    for events in arriving(spark, sf_dir, folder):
+        scored = detection.stream_score(sinks.read_files(spark, folder, events.schema), model)
+        daily = detection.stream_daily_rate(scored, "ts")
+        rates.start(daily, log, "update").awaitTermination()
+    return rounded(series.fill_days(rates.latest(spark, daily.schema, ["day"])), "anomaly_rate")
+
+
+@query
+def stream_alert(spark, sf_dir):
+    model, folder, log = event_model(spark, sf_dir), new_path(spark, "events"), new_path(spark, "log")
+    history = model.score(table(spark, sf_dir, "events").select("event_id", "value"))
+    baseline = insights.alert_threshold(history).first()["anomaly_rate"]
+    sink = sinks.BatchTable(new_path(spark, "alerts"))
+    for events in arriving(spark, sf_dir, folder):
+        scored = detection.stream_score(sinks.read_files(spark, folder, events.schema), model)
+        alerts = detection.stream_alert(scored, "ts", baseline)
+        sink.start(alerts, log).awaitTermination()
+    found = sink.read(spark, alerts.schema).drop(sinks.BATCH)
+    return rounded(found, "anomaly_rate", "baseline_rate", "alert_rate", "ratio")
+
+
+# Density
+
+
+@query
+def dbscan(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    found = density.dbscan(customers, ["c_acctbal", "c_nationkey"], eps=0.1, min_rows=4, key=["c_custkey"])
+    return rounded(
+        found.select("c_custkey", "cluster", "core", "anomaly", "anomaly_score", "anomaly_probability", "risk_tier"),
+        "anomaly_score",
+    )
