@@ -93,13 +93,13 @@ def distribution_of_counts(
     ).first()
     buckets = min(MAX_BUCKETS, math.ceil(size["distinct"] / rows_per_bucket))
     if buckets <= 1:
-        table = counts.withColumn("before", _running(Window.partitionBy(F.lit(0))))
+        table = counts.withColumn("before", running_count(Window.partitionBy(F.lit(0))))
     else:
         table = pin(_ranked_in_buckets(counts, buckets))
     return ScoreDistribution(table, size["n"], size["low"], size["high"])
 
 
-def _running(window) -> Column:
+def running_count(window) -> Column:
     earlier = window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum("rows").over(earlier), F.lit(0))
 
@@ -124,7 +124,7 @@ def _ranked_in_buckets(counts: DataFrame, buckets: int) -> DataFrame:
         ).alias("offset"),
     )
     return (
-        bucketed.withColumn("within", _running(Window.partitionBy("bucket")))
+        bucketed.withColumn("within", running_count(Window.partitionBy("bucket")))
         .join(F.broadcast(offsets), "bucket")
         .select("score", "rows", (F.col("offset") + F.col("within")).alias("before"))
     )
@@ -162,12 +162,12 @@ def lookup_steps(
         step = F.col("_step").cast("int")
     else:
         df = df.withColumns(arrays)
-        step = F.greatest(_steps_reached(F.col(score), len(steps)) - 1, F.lit(0))
+        step = F.greatest(steps_reached(F.col(score), len(steps)) - 1, F.lit(0))
     level = F.get("_levels", step)
     return df.withColumn(out, F.when(F.col(score).isNotNull(), level)).drop(*arrays, "_step")
 
 
-def _steps_reached(value: Column, count: int) -> Column:
+def steps_reached(value: Column, count: int) -> Column:
     """Number of ``_starts`` at or below the value, found bit by bit."""
     spans = [1 << i for i in reversed(range(count.bit_length()))]
     return F.reduce(

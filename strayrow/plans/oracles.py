@@ -336,6 +336,34 @@ judged AS (
   FROM seen LEFT JOIN named ON seen.a = k LEFT JOIN beside ON beside.a = seen.a)"""
 
 
+TIERS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
+
+_BATCH_RANKED = f"""ranked AS (
+  SELECT *, CASE WHEN anomaly_score IS NOT NULL THEN round_even(
+      (RANK() OVER (PARTITION BY source_file ORDER BY anomaly_score NULLS LAST)
+       + (COUNT(*) OVER (PARTITION BY source_file, anomaly_score) - 1) / 2.0)
+      / COUNT(anomaly_score) OVER (PARTITION BY source_file) * 100, 2) END AS anomaly_probability
+  FROM b),
+batch_scored AS (SELECT *, {TIER} AS risk_tier FROM ranked)"""
+
+BATCH_Z = f"""WITH d AS (
+  SELECT event_id, value, event_type AS source_file,
+         ABS((value - AVG(value) OVER w) / NULLIF(STDDEV(value) OVER w, 0)) AS anomaly_score
+  FROM events WINDOW w AS (PARTITION BY event_type)),
+b AS (SELECT *, CAST(CASE WHEN anomaly_score > 3 THEN 1 ELSE 0 END AS INTEGER) AS anomaly FROM d),
+{_BATCH_RANKED}"""
+
+BATCH_IQR = f"""WITH q AS (
+  SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1),
+e AS (
+  SELECT event_id, value, event_type AS source_file, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi
+  FROM events JOIN q USING (event_type)),
+b AS (
+  SELECT event_id, value, source_file, CAST(CASE WHEN value < lo OR value > hi THEN 1 ELSE 0 END AS INTEGER) AS anomaly,
+         GREATEST(0.0::DOUBLE, lo - value, value - hi) AS anomaly_score FROM e),
+{_BATCH_RANKED}"""
+
+
 # Queries ------------------------------------------------------------------------------------
 
 
@@ -588,4 +616,14 @@ def oracle_sql() -> dict[str, str]:
         "dbscan": f"""{DENSITY} SELECT c_custkey, cluster, core, anomaly, round(anomaly_score, 6) AS anomaly_score,
           anomaly_probability, {TIER} AS risk_tier
           FROM (SELECT *, {probability("anomaly_score")} AS anomaly_probability FROM judged)""",
+        "batch_detect": f"""{BATCH_Z} SELECT event_id, value, source_file, anomaly,
+          round(anomaly_score, 6) AS anomaly_score, anomaly_probability, risk_tier FROM batch_scored""",
+        "batch_detect_iqr": f"""{BATCH_IQR} SELECT event_id, value, source_file, anomaly,
+          round(anomaly_score, 6) AS anomaly_score, anomaly_probability, risk_tier FROM batch_scored""",
+        "batch_summary": f"""{BATCH_Z} SELECT source_file, COUNT(*) AS total_records,
+          CAST(SUM(anomaly) AS BIGINT) AS anomalies,
+          {", ".join(f"COUNT(*) FILTER (risk_tier = '{t}') AS {t.lower()}_rows" for t in TIERS)},
+          round(MAX(anomaly_score), 6) AS highest_score,
+          round(CAST(SUM(anomaly) AS BIGINT) / COUNT(*) * 100, 6) AS anomaly_rate
+          FROM batch_scored GROUP BY 1""",
     }

@@ -11,6 +11,7 @@ from strayrow.functions import columns, ranking, sampling, tiers
 from strayrow.functions.materialize import new_path, pin_table
 from strayrow.operators import (
     audit,
+    batches,
     dbscan as density,
     forest,
     funnel,
@@ -753,3 +754,31 @@ def dbscan(spark, sf_dir):
         found.select("c_custkey", "cluster", "core", "anomaly", "anomaly_score", "anomaly_probability", "risk_tier"),
         "anomaly_score",
     )
+
+
+# Many files
+
+
+def event_files(spark, sf_dir):
+    """The events as files in one folder for each type, read back with the folder they came from."""
+    path = new_path(spark, "batches")
+    events = table(spark, sf_dir, "events").select("event_id", "value", "event_type")
+    events.withColumnRenamed("event_type", "batch").write.partitionBy("batch").parquet(path)
+    rows = files.scan_batch(spark, f"{path}/*/*.parquet", unit="folder")
+    return rows.withColumn("source_file", F.regexp_extract("source_file", "([^=/]*)$", 1))
+
+
+@query
+def batch_detect(spark, sf_dir):
+    return rounded(batches.batch_detect(event_files(spark, sf_dir), ["value"]), "anomaly_score")
+
+
+@query
+def batch_detect_iqr(spark, sf_dir):
+    return rounded(batches.batch_detect(event_files(spark, sf_dir), ["value"], "iqr"), "anomaly_score")
+
+
+@query
+def batch_summary(spark, sf_dir):
+    found = batches.batch_summary(batches.batch_detect(event_files(spark, sf_dir), ["value"]))
+    return rounded(found, "highest_score", "anomaly_rate")

@@ -117,6 +117,26 @@ def load(spark: SparkSession, path: str, **options) -> DataFrame:
     raise ValueError(f"unsupported file format: {path}")
 
 
+def scan_batch(
+    spark: SparkSession, path: str, kind: str | None = None, unit: str = "file", name: str = "source_file", **options
+) -> DataFrame:
+    """All files of a folder or glob as one table, with the path each row came from.
+
+    ``unit`` is ``file``, or ``folder`` where the files of a folder are the parts of one table.
+    ``kind`` is parquet, csv or txt; the suffix tells if it is not given. Files have one schema.
+    """
+    kind = kind or format_by_suffix(path)
+    if kind not in ("parquet", "csv", "txt"):
+        raise ValueError(f"unsupported file format: {path}")
+    if unit not in ("file", "folder"):
+        raise ValueError(f"no unit of files of this name: {unit}")
+    rows = scan_parquet(spark, path) if kind == "parquet" else scan_csv(spark, path, **options)
+    source = F.col("_metadata.file_path")
+    if unit == "folder":
+        source = F.regexp_replace(source, "/[^/]*$", "")
+    return rows.withColumn(name, source)
+
+
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("compression", "snappy").parquet(path)
 
