@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from strayrow.functions.sampling import HALVES, PRIME, SHIFTS
+
 # Common parts -------------------------------------------------------------------------------
 
 USER_DAY = """
@@ -56,16 +58,14 @@ EVENT_DAYS = f"""{EVENTS_SCORED},
 t AS (SELECT CAST(ts AS DATE) AS day, CAST(SUM(anomaly) AS BIGINT) AS anomalies, COUNT(*) AS total
       FROM scored_events JOIN events USING (event_id) GROUP BY 1)"""
 
-FENCES = (
-    USER_DAY
-    + """,
-f AS (SELECT q1v, q3v, q1c, q3c,
+FENCE_TABLE = """f AS (SELECT q1v, q3v, q1c, q3c,
         q1v - 1.5 * (q3v - q1v) AS lov, q3v + 1.5 * (q3v - q1v) AS hiv,
         q1c - 1.5 * (q3c - q1c) AS loc, q3c + 1.5 * (q3c - q1c) AS hic
       FROM (SELECT quantile_cont(value_sum, 0.25) AS q1v, quantile_cont(value_sum, 0.75) AS q3v,
                    quantile_cont(event_count, 0.25) AS q1c, quantile_cont(event_count, 0.75) AS q3c
             FROM user_day))"""
-)
+
+FENCES = f"{USER_DAY},\n{FENCE_TABLE}"
 
 IQR_SCORE = """GREATEST(0.0::DOUBLE, lov - value_sum, value_sum - hiv,
   loc - event_count, event_count - hic)"""
@@ -93,6 +93,24 @@ LINEITEM_TYPES = {
 }
 
 
+def _hash(keys: tuple[str, ...], seed: int) -> str:
+    """A number from 0 to 1 of whole-number keys."""
+    halves = []
+    for fold, *rounds in HALVES:
+        at = f"{seed}::BIGINT"
+        for key in keys:
+            value = f"coalesce({key}, -1)::BIGINT"
+            for limb in (f"(({value} % {PRIME}) + {PRIME}) % {PRIME}", f"((({value} >> 31) % {PRIME}) + {PRIME}) % {PRIME}"):
+                at = f"(({at} * {fold} + {limb}) % {PRIME})"
+        for ((a, p), (b, q)), (i, j) in zip(rounds, SHIFTS):
+            at = f"((({at} * {a} + {i}) % {p}) * (({at} * {b} + {j}) % {q}) % {PRIME})"
+        halves.append(at)
+    return f"({halves[0]} * {PRIME} + {halves[1]})::DOUBLE / ({PRIME}.0::DOUBLE * {PRIME}.0::DOUBLE)"
+
+
+DAY_KEY = ("user_id", "(event_date - DATE '1970-01-01')")
+
+
 def role(kind: str) -> str:
     return {"string": "categorical", "timestamp_ntz": "temporal"}.get(kind, "numeric")
 
@@ -626,4 +644,21 @@ def oracle_sql() -> dict[str, str]:
           round(MAX(anomaly_score), 6) AS highest_score,
           round(CAST(SUM(anomaly) AS BIGINT) / COUNT(*) * 100, 6) AS anomaly_rate
           FROM batch_scored GROUP BY 1""",
+        "sample_rows": f"""SELECT o_orderkey, o_totalprice FROM orders
+          ORDER BY {_hash(("o_orderkey",), 42)}, o_orderkey LIMIT 1000""",
+        "scatter_sample": f"""{scored} user_id, event_date, value_sum, event_count, anomaly FROM scored
+          ORDER BY {_hash(DAY_KEY, 42)}, user_id, event_date LIMIT 10000""",
+        "review_sample": f"""{scored} user_id, event_date, value_sum, event_count, anomaly, risk_tier
+          FROM scored WHERE anomaly = 1 ORDER BY {_hash(DAY_KEY, 42)}, user_id, event_date LIMIT 20""",
+        "rollup_metric_rule_avg": """SELECT l_suppkey, CAST(l_shipdate AS DATE) AS l_shipdate,
+          round(AVG(l_tax), 6) AS tax_rate, round(SUM(l_discount), 6) AS discount_pct,
+          round(AVG(l_extendedprice), 6) AS avg_price, CAST(SUM(l_linenumber) AS BIGINT) AS line,
+          'avg_price:avg,discount_pct:sum,line:sum,tax_rate:avg' AS rules FROM lineitem GROUP BY 1, 2""",
+        "detector_registry_exact": f"""WITH {SCORED}, {FENCE_TABLE},
+          i AS (SELECT CASE WHEN value_sum < lov OR value_sum > hiv OR event_count < loc OR event_count > hic
+                 THEN 1 ELSE 0 END AS anomaly FROM user_day, f),
+          l AS ({LOF})
+          SELECT 'zscore' AS method, 'statistical' AS kind, COUNT(*) AS rows, CAST(SUM(anomaly) AS BIGINT) AS anomalies FROM scored
+          UNION ALL SELECT 'iqr', 'statistical', COUNT(*), CAST(SUM(anomaly) AS BIGINT) FROM i
+          UNION ALL SELECT 'lof', 'ml', COUNT(*), CAST(SUM(anomaly) AS BIGINT) FROM l""",
     }

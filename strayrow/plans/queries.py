@@ -782,3 +782,39 @@ def batch_detect_iqr(spark, sf_dir):
 def batch_summary(spark, sf_dir):
     found = batches.batch_summary(batches.batch_detect(event_files(spark, sf_dir), ["value"]))
     return rounded(found, "highest_score", "anomaly_rate")
+
+
+# Rules and registry, once more where SQL can follow
+
+
+@query
+def rollup_metric_rule_avg(spark, sf_dir):
+    """Names that ask for an average, and one that asks for both and is summed."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_suppkey", F.to_date("l_shipdate").alias("l_shipdate"), F.col("l_tax").alias("tax_rate"),
+        F.col("l_discount").alias("discount_pct"), F.col("l_extendedprice").alias("avg_price"),
+        F.col("l_linenumber").alias("line"),
+    )
+    daily = rollup.group_date_rollup(lines, "l_suppkey", "l_shipdate", ordered=False)
+    rules = rollup.metric_rules(lines, "l_suppkey", "l_shipdate")
+    named = ",".join(f"{c}:{r}" for c, r in sorted(rules.items()))
+    return rounded(daily, "tax_rate", "discount_pct", "avg_price").withColumn("rules", F.lit(named))
+
+
+@query
+def detector_registry_exact(spark, sf_dir):
+    """The registry's detectors without random parts."""
+    days = user_day(spark, sf_dir)
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    found = None
+    for method, df, features in (
+        ("zscore", days, FEATURES), ("iqr", days, FEATURES), ("lof", customers, ["c_nationkey", "c_acctbal"]),
+    ):
+        flagged = registry.detect(df, method, features).agg(
+            F.lit(method).alias("method"),
+            F.lit(registry.DETECTORS[method].kind).alias("kind"),
+            F.count(F.lit(1)).alias("rows"),
+            F.sum("anomaly").cast("bigint").alias("anomalies"),
+        )
+        found = flagged if found is None else found.unionByName(flagged)
+    return found
