@@ -15,7 +15,6 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 
 def tokenizer(name: str) -> Tokenizer:
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return t
 
 

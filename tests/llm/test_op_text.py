@@ -130,7 +130,7 @@ def test_license_phrases_and_notices(spark):
     ]
     got = scanned(spark, texts)
     assert [got[0][c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels")] == [
-        9, 3, 1, 7, "mit", "mit",
+        10, 3, 1, 8, "mit", "mit",
     ]
     assert (got[1]["base_labels"], got[1]["labels"], got[1]["n_base"]) == ("", "mit", 0)
     span = got[1]["spans"][0]

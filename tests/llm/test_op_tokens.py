@@ -52,6 +52,23 @@ def test_any_text_encodes_as_a_whole(text):
         assert got == own.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+_parts = ["<|endoftext|>", "<|startoftext|>", "<|endof", "text|>", "a", "b's", " ", "  ", "\n", "\t", "日", "é", ".", "\u00a0", "<|ENDOFTEXT|>"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(_parts), max_size=12))
+def test_special_strings_are_what_the_library_makes_of_them(parts):
+    text = "".join(parts)
+    for own in _own.values():
+        got = np.frombuffer(next(own.encode(pa.array([text]))), "<u4").tolist()
+        assert got == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_special_strings_by_the_contract():
+    for name, ids in (("byte_bpe_50k.json", [64, 220, 50256, 275]), ("word_bpe_49k.json", [320, 49407, 321])):
+        assert np.frombuffer(next(_own[name].encode(pa.array(["a <|endoftext|> b"]))), "<u4").tolist() == ids
+
+
 def test_a_full_memory_forgets(monkeypatch):
     monkeypatch.setattr("strayrow.llm.tokens.REMEMBERED", 10)
     own = PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), True)
