@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strayrow.functions.materialize import pin, pin_table
+from strayrow.functions.materialize import Scratch, pin
 from strayrow.functions.skew import attach
 from strayrow.llm.components import components
 from strayrow.llm.texts import give_back, raw
@@ -181,7 +181,9 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den:
     return slim.mapInArrow(run, f"id {kind}, n_shingles long, node long, keys array<long>")
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+def _full_sets(
+    docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int, scratch: Scratch
+) -> DataFrame:
     """Shingles and bitmaps of the rows whose id is in ``ids``, one row for each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +219,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
     # A node can come from several tasks if an id is repeated; that repeats pairs, no more.
-    return pin_table(texts.mapInArrow(run, "node long, n long, bits binary, shingles binary"), "sets")
+    return scratch.keep(texts.mapInArrow(run, "node long, n long, bits binary, shingles binary"), "sets")
 
 
 def _with(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
@@ -425,26 +427,34 @@ def similar_groups(
     ``similarity[0] / similarity[1]``.
     """
     num, den = similarity
-    rows = pin_table(_sets(docs, id_col, text_col, shingle, num, den), "shingled")
+    # Each table goes when its successor is written; only the slim rows and their groups stay.
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    shingled = scratch.keep(_sets(docs, id_col, text_col, shingle, num, den), "shingled")
+    rows = scratch.keep(shingled.select("id", "n_shingles", "node"), "rows")
     nodes = pin(
         rows.where(F.col("node").isNotNull())
         .groupBy("node")
         .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n"))
     )
-    tiles = rows.where(F.col("keys").isNotNull()).select(F.explode("keys").alias("key"), "node")
+    tiles = shingled.where(F.col("keys").isNotNull()).select(F.explode("keys").alias("key"), "node")
     tile = Window.partitionBy("key")
     ends = {"leader": F.min("node").over(tile), "last": F.max("node").over(tile)}
     shared = tiles.withColumns(ends).where(F.col("leader") < F.col("last")).select("key", "node")
     bands = Bands(num, den)
-    for _ in range(ROUNDS):
-        enough = _sharing_enough(pin_table(shared, "tiles"), nodes, bands).select("key", "node")
+    source = "shingled"
+    for done in range(ROUNDS):
+        kept = scratch.keep(shared, f"tiles{done}")
+        scratch.drop(source)
+        source = f"tiles{done}"
+        enough = _sharing_enough(kept, nodes, bands).select("key", "node")
         shared = enough.withColumns(ends).where(F.col("leader") < F.col("last"))
-    shared = pin_table(shared.select("key", "node", "leader").distinct(), "tiles")
+    shared = scratch.keep(shared.select("key", "node", "leader").distinct(), "tiles")
+    scratch.drop(source)
     first = shared.where(F.col("node") != F.col("leader")).select(
         F.col("leader").alias("a"), F.col("node").alias("b")
     ).distinct()
     ids = shared.select("node").distinct().join(nodes, "node").select("id").distinct()
-    sets = _full_sets(docs, ids, id_col, text_col, shingle)
+    sets = _full_sets(docs, ids, id_col, text_col, shingle, scratch)
     links = pin(_linked(_possible(first, sets, num, den), sets, num, den))
     labels = components(links)
 
@@ -456,6 +466,7 @@ def similar_groups(
     named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
     groups = pin(named.join(smallest, "component").select("node", "component_id", "rows"))
+    scratch.drop("tiles", "sets")
     placed = attach(rows.select("id", "n_shingles", "node"), groups, "node", ["component_id"], "rows")
     return placed.select(
         F.col("id").alias(id_col),

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strayrow.functions.materialize import pin, pin_table
+from strayrow.functions.materialize import Scratch, pin
 from strayrow.functions.skew import attach
 from strayrow.llm.jaccard import similar_groups
 
@@ -57,13 +57,18 @@ def boilerplate(
     ratio: float = RATIO,
     least: int = LEAST,
     copies: tuple[int, tuple[int, int]] | None = None,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
-    """Host, line hash, pages with the line and pages of the host, where the share is too large."""
+    """Host, line hash, pages with the line and pages of the host, where the share is too large.
+
+    What it reads is the table ``pages`` of ``scratch``.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "line-dedup")
     slim = docs.select(F.col(host_col).alias("host"), F.col(text_col).cast("string").alias("text"))
     hashes = F.transform(
         F.filter(_lines("text"), lambda x: _trimmed(x) != ""), lambda x: F.xxhash64(_trimmed(x))
     )
-    pages = pin_table(
+    pages = scratch.keep(
         slim.where(F.col("text").isNotNull())
         .select("host", F.xxhash64("text").alias("page"), F.array_distinct(hashes).alias("lines"))
         .dropDuplicates(["host", "page"]),
@@ -100,14 +105,16 @@ def drop_boilerplate(
 ) -> DataFrame:
     """The rows with boilerplate lines cut out of the text; ``counts`` adds ``n_lines`` and
     ``n_dropped``; ``copies`` (shingle, similarity) counts near copies as one page."""
+    scratch = Scratch(docs.sparkSession, "line-dedup")
     hosts = pin(
-        boilerplate(docs, host_col, text_col, ratio, least, copies)
+        boilerplate(docs, host_col, text_col, ratio, least, copies, scratch)
         .groupBy("host")
         .agg(F.collect_list("line").alias("lines"), F.first("host_pages").alias("pages"))
         .select(F.coalesce(F.col("host").cast("string"), F.lit("")).alias("_host"),
                 F.col("host").isNull().alias("_no_host"),
                 F.col("lines").alias("_lines"), F.col("pages").alias("_pages"))
     )
+    scratch.drop("pages")
     total = hosts.agg(F.sum(F.size("_lines")).alias("n"), F.count(F.lit(1)).alias("hosts")).first()
     per_host = max(1, (total["n"] or 0) // max(1, total["hosts"]))
     # The row travels as one column, so that no name of its own can clash.
