@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from strayrow.functions.materialize import pin_table
 from strayrow.functions.sampling import sample_rows
+from strayrow.operators.dbscan import dbscan
 from strayrow.operators.forest import isolation_forest
 from strayrow.operators.iqr import iqr_detect
 from strayrow.operators.lof import local_outlier_factor
@@ -40,6 +41,7 @@ DETECTORS: dict[str, Detector] = {
     "one_class_svm": Detector(
         one_class_svm, "ml", {"contamination": 0.1}, sampled=True, takes_key=True
     ),
+    "dbscan": Detector(dbscan, "ml", {"eps": 0.5, "min_rows": 5}, takes_key=True),
 }
 
 
