@@ -44,6 +44,20 @@ def portable_hash(numbers: list[Column], seed: int) -> Column:
     return out[0] * F.lit(PRIME) + out[1]
 
 
+def hashed_number(numbers: list[int], seed: int) -> int:
+    """``portable_hash`` of numbers that are at hand."""
+    out = []
+    for fold, *rounds in HALVES:
+        at = seed % PRIME
+        for value in numbers:
+            for limb in (value % PRIME, (value >> 31) % PRIME):
+                at = (at * fold + limb) % PRIME
+        for (one, other), (shift, too) in zip(rounds, SHIFTS):
+            at = ((at * one[0] + shift) % one[1]) * ((at * other[0] + too) % other[1]) % PRIME
+        out.append(at)
+    return out[0] * PRIME + out[1]
+
+
 def key_number(name: str, dtype: T.DataType) -> Column | None:
     """A key column as a whole number, or nothing if engines would not agree on it."""
     value = col(name)
@@ -56,6 +70,14 @@ def key_number(name: str, dtype: T.DataType) -> Column | None:
     return None
 
 
+def row_number(df: DataFrame, key: list[str] | None, seed: int) -> Column:
+    """A whole number for each row: ``portable_hash`` where the key's types allow it."""
+    numbers = [key_number(k, df.schema[k].dataType) for k in key or []]
+    if not numbers or any(n is None for n in numbers):
+        return F.floor(unit_hash(key, seed) * F.lit(float(1 << 53))).cast("bigint")
+    return portable_hash(numbers, seed)
+
+
 def row_hash(df: DataFrame, key: list[str] | None, seed: int) -> Column:
     """``unit_hash`` of a table's rows, by ``portable_hash`` where the key's types allow it."""
     numbers = [key_number(k, df.schema[k].dataType) for k in key or []]

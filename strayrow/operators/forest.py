@@ -4,6 +4,10 @@ Liu, Ting, Zhou: Isolation Forest, ICDM 2008. Each tree sees a small random samp
 forest is built from one bounded pool of rows: one hash per row selects the pool in a single
 scan. Trees are grown in parallel, one group per tree; the finished forest has a size that does
 not depend on the data and is applied batch by batch.
+
+Which rows a tree sees, and where a node splits, come from a hash of plain arithmetic over the row's
+key, the tree and the node, so a forest can be grown again elsewhere. Path lengths are rounded to
+steps of 2^-24, so that their sums do not depend on the order of the trees.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strayrow.functions.materialize import pin
-from strayrow.functions.sampling import sample_rows, unit_hash
+from strayrow.functions.sampling import PRIME, hashed_number, portable_hash, row_number, sample_rows
 from strayrow.operators.scaling import Prepared, finish_model, fit_scores, matrix, prepare, score_counts
 
 # Default size of the forest and its seed.
@@ -28,6 +32,7 @@ SEED = 42
 
 _EULER = 0.5772156649015329
 _POOL_PER_TREE_ROW = 64
+_PATH_STEPS = 1 << 24
 _CHUNK = 16_384
 _NODE_SCHEMA = (
     "tree int, node int, feature int, split double, left int, right int, path double"
@@ -42,31 +47,38 @@ def average_path(n: np.ndarray | int) -> np.ndarray:
     return np.where(n > 2, length, np.where(n == 2, 1.0, 0.0))
 
 
-def grow_tree(x: np.ndarray, seed: int) -> pd.DataFrame:
-    """Nodes of one tree; ``path`` is the expected path length of a row that ends in a leaf."""
-    rng = np.random.default_rng(seed)
+def path_length(depth: int, rows: int) -> float:
+    return depth + round(float(average_path(rows)) * _PATH_STEPS) / _PATH_STEPS
+
+
+def grow_tree(x: np.ndarray, tree: int, seed: int = SEED) -> pd.DataFrame:
+    """Nodes of one tree; ``path`` is the expected path length of a row that ends in a leaf.
+
+    ``place`` numbers nodes from 1 at the root, the children of i being 2 i and 2 i + 1.
+    """
     limit = math.ceil(math.log2(max(len(x), 2)))
     nodes: list[tuple] = []
-    waiting = [(0, np.arange(len(x)), 0)]
+    waiting = [(0, 1, np.arange(len(x)), 0)]
     reserved = 1
     while waiting:
-        node, members, depth = waiting.pop()
+        node, place, members, depth = waiting.pop()
         low, high = x[members].min(axis=0), x[members].max(axis=0)
         varied = np.flatnonzero(high > low)
         if depth >= limit or len(members) <= 1 or not len(varied):
-            nodes.append((node, -1, 0.0, node, node, depth + float(average_path(len(members)))))
+            nodes.append((node, -1, 0.0, node, node, path_length(depth, len(members))))
             continue
-        feature = int(rng.choice(varied))
+        feature = int(varied[hashed_number([tree, place], seed + 2) % len(varied)])
         # The split lies in [low, high): rows equal to the minimum go left, the maximum right.
-        split = float(rng.uniform(low[feature], high[feature]))
+        share = float(hashed_number([tree, place], seed + 3)) / (float(PRIME) * PRIME)
+        split = float(low[feature] + share * (high[feature] - low[feature]))
         if not low[feature] <= split < high[feature]:
             split = float(low[feature])
         goes_left = x[members, feature] <= split
         left, right = reserved, reserved + 1
         reserved += 2
         nodes.append((node, feature, split, left, right, 0.0))
-        waiting.append((left, members[goes_left], depth + 1))
-        waiting.append((right, members[~goes_left], depth + 1))
+        waiting.append((left, 2 * place, members[goes_left], depth + 1))
+        waiting.append((right, 2 * place + 1, members[~goes_left], depth + 1))
     nodes.sort()
     return pd.DataFrame(nodes, columns=["node", "feature", "split", "left", "right", "path"])
 
@@ -109,26 +121,26 @@ def fit_forest(
     seed: int = SEED,
 ) -> Forest:
     names = prepared.names
-    vectors = prepared.vectors(unit_hash(key, seed).alias("u"))
+    vectors = prepared.vectors(row_number(prepared.rows, key, seed).alias("number"))
     # The pool is a uniform sample far larger than a tree's share of it, and bounded.
     pool_size = tree_rows * _POOL_PER_TREE_ROW
-    pool = pin(sample_rows(vectors, pool_size, ["u"], seed, prepared.n))
+    pool = pin(sample_rows(vectors, pool_size, ["number"], seed, prepared.n))
     pool_rows = pool.count()
     if pool_rows == 0:
         raise ValueError("no rows to fit")
     size = min(tree_rows, pool_rows)
     rate = min(1.0, (size + 6 * math.sqrt(size) + 20) / pool_rows)
     drawn = pool.select(
-        *names, "u", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    ).withColumn("place", unit_hash(["tree", "u"], seed + 1))
+        *names, "number", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    ).withColumn("place", portable_hash([F.col("tree"), F.col("number")], seed + 1))
 
     def build(group: tuple, sample: pd.DataFrame) -> pd.DataFrame:
         tree = int(group[0])
         kept = sample.sort_values(["place", *names])[:size]
-        nodes = grow_tree(kept[names].to_numpy(float), seed * 100_003 + tree)
+        nodes = grow_tree(kept[names].to_numpy(float), tree, seed)
         return nodes.assign(tree=tree)[[f.split()[0] for f in _NODE_SCHEMA.split(", ")]]
 
-    chosen = drawn.where(F.col("place") < rate) if rate < 1 else drawn
+    chosen = drawn.where(F.col("place") < rate * PRIME * PRIME) if rate < 1 else drawn
     # Few rows but much work per tree: spread the trees, whatever the size of their rows.
     tasks = min(trees, pool.sparkSession.sparkContext.defaultParallelism)
     spread = chosen.repartition(tasks, "tree")

@@ -95,6 +95,10 @@ LINEITEM_TYPES = {
 
 def _hash(keys: tuple[str, ...], seed: int) -> str:
     """A number from 0 to 1 of whole-number keys."""
+    return f"({_number(keys, seed)})::DOUBLE / ({PRIME}.0::DOUBLE * {PRIME}.0::DOUBLE)"
+
+
+def _number(keys: tuple[str, ...], seed: int) -> str:
     halves = []
     for fold, *rounds in HALVES:
         at = f"{seed}::BIGINT"
@@ -105,7 +109,7 @@ def _hash(keys: tuple[str, ...], seed: int) -> str:
         for ((a, p), (b, q)), (i, j) in zip(rounds, SHIFTS):
             at = f"((({at} * {a} + {i}) % {p}) * (({at} * {b} + {j}) % {q}) % {PRIME})"
         halves.append(at)
-    return f"({halves[0]} * {PRIME} + {halves[1]})::DOUBLE / ({PRIME}.0::DOUBLE * {PRIME}.0::DOUBLE)"
+    return f"({halves[0]} * {PRIME} + {halves[1]})"
 
 
 DAY_KEY = ("user_id", "(event_date - DATE '1970-01-01')")
@@ -382,6 +386,52 @@ b AS (
 {_BATCH_RANKED}"""
 
 
+def _forest(trees: int = 100, tree_rows: int = 256, seed: int = 42, pool: int = 256 * 64) -> str:
+    """An Isolation Forest over user-days: samples, then nodes level by level, then paths."""
+    c = "CASE WHEN {0} > 2 THEN 2 * (ln({0} - 1) + 0.5772156649015329) - 2 * ({0} - 1) / {0}::DOUBLE WHEN {0} = 2 THEN 1.0 ELSE 0.0 END"
+    parts = [f"""{USER_DAY},
+ scaled AS MATERIALIZED (
+  SELECT *, (value_sum - AVG(value_sum) OVER ()) / STDDEV_POP(value_sum) OVER () AS x0,
+         (event_count - AVG(event_count) OVER ()) / STDDEV_POP(event_count) OVER () AS x1,
+         {_number(DAY_KEY, seed)} AS number FROM user_day),
+ pool AS MATERIALIZED (SELECT x0, x1, number FROM scaled ORDER BY {_hash(("number",), seed)}, number LIMIT {pool}),
+ sizes AS (SELECT LEAST({tree_rows}, COUNT(*)) AS size, ceil(log2(GREATEST(LEAST({tree_rows}, COUNT(*)), 2))) AS most FROM pool),
+ l0 AS MATERIALIZED (
+  SELECT tree, 1 AS place, x0, x1 FROM (
+    SELECT tree, x0, x1, row_number() OVER (PARTITION BY tree ORDER BY {_number(("tree", "number"), seed + 1)}, x0, x1) AS k
+    FROM pool, (SELECT unnest(range({trees})) AS tree)), sizes WHERE k <= size),
+ r0 AS (SELECT tree, 1 AS place, number, x0, x1 FROM scaled, (SELECT unnest(range({trees})) AS tree))"""]
+    depth = (tree_rows - 1).bit_length()
+    for d in range(depth + 1):
+        feature = f"CASE WHEN varied = 2 THEN {_number(('tree', 'place'), seed + 2)} % 2 WHEN h0 > l0 THEN 0 ELSE 1 END"
+        parts.append(f"""
+ n{d} AS MATERIALIZED (
+  SELECT *, {feature} AS f, {d} + round({c.format("n")} * 16777216) / 16777216 AS path,
+         {d} >= most OR n <= 1 OR varied = 0 AS leaf, {_hash(("tree", "place"), seed + 3)} AS share
+  FROM (SELECT tree, place, COUNT(*) AS n, MIN(x0) AS l0, MAX(x0) AS h0, MIN(x1) AS l1, MAX(x1) AS h1,
+               CAST(MAX(x0) > MIN(x0) AS INT) + CAST(MAX(x1) > MIN(x1) AS INT) AS varied
+        FROM l{d} GROUP BY 1, 2), sizes),
+ s{d} AS MATERIALIZED (
+  SELECT tree, place, f, leaf, path, CASE WHEN f = 0 THEN l0 + share * (h0 - l0) ELSE l1 + share * (h1 - l1) END AS split FROM n{d}),
+ p{d} AS (SELECT number, SUM(path) AS path FROM r{d} JOIN s{d} USING (tree, place) WHERE leaf GROUP BY 1)""")
+        if d < depth:
+            step = "2 * place + CAST(CASE WHEN f = 0 THEN x0 ELSE x1 END > split AS INT) AS place"
+            parts.append(f"""
+ l{d + 1} AS MATERIALIZED (SELECT tree, {step}, x0, x1 FROM l{d} JOIN s{d} USING (tree, place) WHERE NOT leaf),
+ r{d + 1} AS MATERIALIZED (SELECT tree, {step}, number, x0, x1 FROM r{d} JOIN s{d} USING (tree, place) WHERE NOT leaf)""")
+    every = " UNION ALL ".join(f"SELECT * FROM p{d}" for d in range(depth + 1))
+    parts.append(f"""
+ raw AS (SELECT number, pow(2, -(SUM(path) / {trees}) / ANY_VALUE({c.format("size")})) AS s FROM ({every}), sizes GROUP BY 1),
+ normal AS (SELECT *, 10 * (s - MIN(s) OVER ()) / (MAX(s) OVER () - MIN(s) OVER ()) AS anomaly_score
+            FROM scaled JOIN raw USING (number)),
+ limits AS (SELECT GREATEST(quantile_cont(anomaly_score, 0.9) * 1.2, 6.0) AS cut FROM normal),
+ found AS (SELECT *, CAST(CASE WHEN anomaly_score > cut THEN 1 ELSE 0 END AS INTEGER) AS anomaly,
+                  {probability("anomaly_score")} AS anomaly_probability FROM normal, limits)""")
+    return f"""WITH {",".join(parts)}
+ SELECT user_id, event_date, value_sum, CAST(event_count AS DOUBLE) AS event_count, event_type, activity,
+        anomaly, round(anomaly_score, 6) AS anomaly_score, anomaly_probability, {TIER} AS risk_tier FROM found"""
+
+
 # Queries ------------------------------------------------------------------------------------
 
 
@@ -661,4 +711,5 @@ def oracle_sql() -> dict[str, str]:
           SELECT 'zscore' AS method, 'statistical' AS kind, COUNT(*) AS rows, CAST(SUM(anomaly) AS BIGINT) AS anomalies FROM scored
           UNION ALL SELECT 'iqr', 'statistical', COUNT(*), CAST(SUM(anomaly) AS BIGINT) FROM i
           UNION ALL SELECT 'lof', 'ml', COUNT(*), CAST(SUM(anomaly) AS BIGINT) FROM l""",
+        "isolation_forest": _forest(),
     }

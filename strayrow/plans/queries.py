@@ -310,7 +310,7 @@ def standard_scale(spark, sf_dir):
 
 @query
 def isolation_forest(spark, sf_dir):
-    return forest.isolation_forest(user_day(spark, sf_dir), FEATURES, 0.1, KEY)
+    return rounded(forest.isolation_forest(user_day(spark, sf_dir), FEATURES, 0.1, KEY), "anomaly_score")
 
 
 @query
