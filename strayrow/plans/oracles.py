@@ -712,4 +712,5 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT 'iqr', 'statistical', COUNT(*), CAST(SUM(anomaly) AS BIGINT) FROM i
           UNION ALL SELECT 'lof', 'ml', COUNT(*), CAST(SUM(anomaly) AS BIGINT) FROM l""",
         "isolation_forest": _forest(),
+        "profile_sketches": f"""SELECT *, true AS estimate_is_close FROM ({_profile()})""",
     }

@@ -25,6 +25,7 @@ from strayrow.operators import (
     scaling,
     scoring,
     series,
+    sketches,
     svm,
     views,
     zscore,
@@ -818,3 +819,25 @@ def detector_registry_exact(spark, sf_dir):
         )
         found = flagged if found is None else found.unionByName(flagged)
     return found
+
+
+# Profiles of files
+
+
+@query
+def profile_sketches(spark, sf_dir):
+    """Sketches by file, merged, and whether each estimate is within 5 % of the count."""
+    path, store = new_path(spark, "lineitem"), new_path(spark, "sketches")
+    lines = table(spark, sf_dir, "lineitem")
+    lines.repartition(4).write.parquet(path)
+    merged = sketches.merged_profile(sketches.sketch_new_files(spark, f"{path}/*.parquet", store))
+    counted = profiling.column_profile(lines).select("column_name", F.col("distinct").alias("counted"))
+    close = F.abs(F.col("distinct") - F.col("counted")) <= F.col("counted") * 0.05
+    joined = merged.join(counted, "column_name")
+    return rounded(
+        joined.select(
+            "position", "column_name", "type", "role", "total", "nulls", "null_pct",
+            F.col("counted").alias("distinct"), close.alias("estimate_is_close"),
+        ),
+        "null_pct",
+    )

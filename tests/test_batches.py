@@ -30,7 +30,7 @@ def rows(spark):
         odd.otherwise(F.round(F.randn(3) * 10 + F.col("id") % 4 * 50, 1)).alias("x"),
         F.floor(F.rand(4) * 6).alias("y"),
         # One group has two thirds of all rows, one a single row, one is missing.
-        F.when(F.col("id") == 7, "alone").when(F.col("id") % 3 > 0, "big").when(F.col("id") % 5 > 0, F.concat(F.lit("g"), F.col("id") % 4)).alias("team"),
+        F.when(F.col("id") == 7, "alone").when(F.col("id") % 3 > 0, "big").when(F.col("id") % 5 > 0, F.concat(F.lit("g"), F.col("id") % 1)).alias("team"),
     )
     path = new_path(spark, "rows")
     df.write.parquet(path)
