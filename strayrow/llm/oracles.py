@@ -171,3 +171,23 @@ FROM a{rounds} JOIN c{rounds} USING (cluster)
 
 
 SQL["op12_centroid_clustering"] = _clustering()
+
+SQL["op11_embedding_near_dedup"] = """
+WITH RECURSIVE sound AS MATERIALIZED (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b
+  FROM sound a JOIN sound b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(v, first) AS (
+  SELECT a, a FROM pairs
+  UNION SELECT pairs.b, reach.first FROM reach JOIN pairs ON pairs.a = reach.v WHERE reach.first < pairs.b
+), named AS (SELECT v, min(first) AS first FROM reach GROUP BY v),
+linked AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(first, vec_id) AS component_id,
+       coalesce(first, vec_id) = vec_id AS kept, CAST(1 AS DOUBLE) AS recall
+FROM embeddings LEFT JOIN linked ON vec_id = a LEFT JOIN named ON vec_id = v
+"""
