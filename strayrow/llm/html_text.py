@@ -18,7 +18,8 @@ gathers in one task.
 Edge cases: null or empty html gives an empty text; a null url has an empty host; rows of a
 host whose pages read as the same blocks, under whatever urls, are one page when repetitions are
 sought, and each gets its result; pages that differ in some words are distinct; an unclosed element
-ends where an outer one ends, a tag without an end is text; an empty table gives an empty table; other
+ends where an outer one ends, a tag without an end is text; a page is read in time linear in its
+length, whatever its markup; an empty table gives an empty table; other
 columns are ignored.
 """
 
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +41,12 @@ from strayrow.llm.url_filters import host_and_path
 RUN = 8
 BROADCAST_PAGES = 250_000
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>",
-    re.S,
+#: A tag without ``<`` inside, as nearly all are; a failure reads no farther than the next ``<``.
+_TAG = re.compile(
+    r"<(/?)([a-zA-Z][^\s/<>]*+)([^<>\"']*+(?:\"[^\"<>]*+\"[^<>\"']*+|'[^'<>]*+'[^<>\"']*+)*+)>"
 )
+_NAME_END = re.compile(r"[\s/>]")
+_TAG_STOP = re.compile(r"[>\"']")
 _NAMES = re.compile(r"(?:^|[\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 
@@ -92,12 +93,89 @@ def _names(attributes: str) -> tuple[set[str], set[str]]:
     return whole, heads
 
 
+class _Markup:
+    """Finds the tags, comments and declarations of a page, front to back, in linear time.
+
+    What a search found is remembered until it is passed, and a quote from which no tag ends is
+    never tried again, so broken markup is not read once for every ``<``.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.ahead: dict[re.Pattern | str, tuple[int, int]] = {}
+        self.endless: set[int] = set()
+
+    def next(self, what: re.Pattern | str, at: int) -> int:
+        """Place of the first ``what`` from ``at`` on, or the page's size."""
+        since, place = self.ahead.get(what, (0, -1))
+        if not since <= at <= place:
+            if isinstance(what, str):
+                place = self.page.find(what, at)
+            else:
+                match = what.search(self.page, at)
+                place = match.start() if match else -1
+            place = place if place >= 0 else len(self.page)
+            self.ahead[what] = (at, place)
+        return place
+
+    def tag_end(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag, with quoted values skipped, or the page's size."""
+        page, size = self.page, len(self.page)
+        passed = []
+        while True:
+            at = self.next(_TAG_STOP, at)
+            if at == size or at in self.endless:
+                self.endless.update(passed)
+                return size
+            if page[at] == ">":
+                return at
+            passed.append(at)
+            at = page.find(page[at], at + 1) + 1
+            if not at:
+                self.endless.update(passed)
+                return size
+
+    def token(self, at: int) -> tuple[int, int, str | None, str, str]:
+        """Start, end, slash, name and attributes of the next token from ``at`` on.
+
+        The name is empty for comments and declarations; without a token the start is the page's size.
+        """
+        page, size = self.page, len(self.page)
+        start = at - 1
+        while True:
+            start = page.find("<", start + 1)
+            if start < 0:
+                return size, size, None, "", ""
+            tag = _TAG.match(page, start)
+            if tag:
+                return start, tag.end(), tag[1], tag[2].lower(), tag[3]
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, size if end < 0 else end + 3, None, "", ""
+            if page.startswith(("<!", "<?"), start):
+                end = self.next(">", start + 2)
+                if end < size:
+                    return start, end + 1, None, "", ""
+                continue
+            slash = "/" if page.startswith("/", start + 1) else ""
+            name = start + 1 + len(slash)
+            letter = page[name : name + 1]
+            if not (letter.isascii() and letter.isalpha()):
+                continue
+            stop = self.next(_NAME_END, name + 1)
+            end = self.tag_end(stop) if stop < size else size
+            if end < size:
+                return start, end + 1, slash, page[name:stop].lower(), page[stop:end]
+
+
 def read_blocks(page: str) -> list[tuple[str, str]]:
     """(kind, text) of the page's blocks; kind is main, open or out."""
     blocks: list[tuple[str, str]] = []
     #: Open elements: tag, whether it is out (SOFT: an article inside is not), main (WHOLE: in an
     #: article), silent (each with what is around it).
     stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
+    #: Places in the stack of the open elements of a tag.
+    places: dict[str, list[int]] = {}
     parts: list[str] = []
 
     def end_block() -> None:
@@ -107,49 +185,51 @@ def read_blocks(page: str) -> list[tuple[str, str]]:
             blocks.append(("out" if out else "main" if main else "open", text))
         parts.clear()
 
-    def close(tags: set[str], stop: frozenset[str] = frozenset()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                del stack[k:]
-                return
-            if stack[k][0] in stop:
-                return
+    def last(tags: Iterable[str]) -> int:
+        found = 0
+        for t in tags:
+            if places.get(t):
+                found = max(found, places[t][-1])
+        return found
+
+    def close(tags: Iterable[str], stop: Iterable[str] = ()) -> None:
+        k = last(tags)
+        if k and k >= last(stop):
+            while len(stack) > k:
+                places[stack.pop()[0]].pop()
 
+    markup = _Markup(page)
     at = 0
     size = len(page)
     while at < size:
-        match = _TOKEN.search(page, at)
-        text = page[at : match.start()] if match else page[at:]
-        if text and not stack[-1][3]:
-            parts.append(text)
-        if not match:
+        start, end, slash, tag, attributes = markup.token(at)
+        if start > at and not stack[-1][3]:
+            parts.append(page[at:start])
+        if start == size:
             break
-        at = match.end()
-        if match[2] is None:
+        at = end
+        if not tag:
             continue
-        tag = match[2].lower()
         if tag not in INLINE:
             end_block()
-        if match[1]:
-            if any(stack[k][0] == tag for k in range(len(stack) - 1, 0, -1)):
-                if tag in INLINE:
-                    _, out, main, _ = stack[-1]
-                    k = max(i for i in range(1, len(stack)) if stack[i][0] == tag)
-                    if stack[k - 1][1:] != stack[-1][1:]:
-                        end_block()
-                close({tag})
+        if slash:
+            k = last((tag,))
+            if k:
+                if tag in INLINE and stack[k - 1][1:] != stack[-1][1:]:
+                    end_block()
+                close((tag,))
             continue
         if tag in VOID:
             continue
         if tag not in INLINE:
-            close({"p"}, frozenset(["div", "article", "section", "td", "th", "li", "button", "main"]))
+            close(("p",), ("div", "article", "section", "td", "th", "li", "button", "main"))
             if tag in _CLOSES:
-                close(_CLOSES[tag], frozenset(["ul", "ol", "dl", "table", "select", "menu"]))
-        if match[3].endswith("/"):
+                close(_CLOSES[tag], ("ul", "ol", "dl", "table", "select", "menu"))
+        if attributes.endswith("/"):
             continue
         _, out, main, silent = stack[-1]
-        whole, heads = _names(match[3])
-        roles = whole if "role" in match[3].lower() else set()
+        whole, heads = _names(attributes)
+        roles = whole if "role" in attributes.lower() else set()
         marked = WHOLE if tag == "article" or "article" in roles else SOFT if tag in MAIN or roles & MAIN_ROLES else 0
         if marked and out == SOFT:
             out = 0
@@ -162,11 +242,12 @@ def read_blocks(page: str) -> list[tuple[str, str]]:
             if now[1:] == stack[-1][1:]:
                 continue  # changes nothing; its end tag is ignored
             end_block()
-        stack.append(now)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
-            stack.pop()
+            end = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            at = min(size, markup.next(">", end.end()) + 1) if end else size
+            continue
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(now)
     end_block()
     return blocks
 

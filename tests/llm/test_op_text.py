@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import brute
 import oracle
@@ -243,6 +244,36 @@ def test_line_dedup_of_nothing(spark):
 
 # HTML extraction
 
+BROKEN = [
+    "<a ", "<a", "<a x=\"1>", "<a '\"", "<a \">", "<x>", "</y>", "<!x", "</script ", "<b class=ad>", "<li><ul>", "<!--",
+    "<p><div><x></y>",
+]
+
+
+@pytest.mark.parametrize("unit", BROKEN)
+@pytest.mark.parametrize("before, after", [("", ""), ("<script>", ""), ("<p>", "\"")])
+def test_broken_markup_is_read_in_linear_time(unit, before, after):
+    def seconds(size):
+        page = before + unit * (size // len(unit)) + after
+        start = time.perf_counter()
+        html_text.read_blocks(page)
+        return time.perf_counter() - start
+
+    # Twenty times the text; a quadratic reader would take 400 times as long.
+    assert seconds(400_000) < 100 * max(seconds(20_000), 0.005)
+
+
+def test_tags_end_where_quotes_allow():
+    def texts(page):
+        return [t for _, t in html_text.read_blocks(page)]
+
+    assert texts("<p title='a>b'>x<p title=\"c>'d\">y") == ["x", "y"]
+    assert texts("a <b \"c> d") == ['a <b "c> d']
+    assert texts("a <p 'x <p \"y>\" z> b <i>c</i>") == ["a <p 'x", "b c"]
+    assert texts("1 < 2 <3 </ <!d <!-- x") == ["1 < 2 <3 </ <!d"]
+    assert texts("<script>a</script x>b<style>c</style") == ["b"]
+    assert texts("<p>a<div><p>b</div>c<ul><li>d<li>e<ul><li>f</ul>g") == list("abcdefg")
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{}</style></head>
 <body class="has-sidebar"><header>H</header><nav><ul><li>m1<li>m2</ul></nav><!-- c <article>no</article> -->
 <div id="cookie-notice">We use</div><main><article><h1>Ti<b>tle</b> one</h1><p>foo<br>bar &lt;b&gt; &nbsp;
