@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 import re
 import time
 
@@ -189,6 +190,86 @@ def test_license_scan_of_nothing_and_of_a_long_text(spark):
     assert got[0]["n_base"] == 50_000 and got[0]["last_word"] == 149_998
 
 
+def edits_by_end(text, notice):
+    """Fewest edits that turn a piece of the text, ending at each place, into the notice; plainly."""
+    column = list(range(len(notice) + 1))
+    found = []
+    for letter in text:
+        above, column = column, [0]
+        for k, wanted in enumerate(notice):
+            column.append(min(above[k] + (letter != wanted), above[k + 1] + 1, column[k] + 1))
+        found.append(column[-1])
+    return found
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for k, y in enumerate(b):
+            row.append(min(last[k] + (x != y), last[k + 1] + 1, row[k] + 1))
+    return row[-1]
+
+
+def check_spans(text, scanner, notices):
+    """Spans of each notice against the plain table of edits."""
+    lowered = text.translate(brute.LOWER)
+    found = scanner.finds(lowered.encode())
+    for notice in notices:
+        ends = edits_by_end(lowered, notice.text)
+        possible = [k + 1 for k, edits in enumerate(ends) if edits <= notice.errors]
+        mine = [f for f in found if f[0] == notice.label]
+        assert bool(mine) == bool(possible)
+        for _, start, end, edits, share in mine:
+            assert edit_distance(lowered[start:end], notice.text) == edits <= notice.errors
+            assert share == 1 - edits / len(notice.text)
+        for (_, _, end, *_), (_, start, *_) in zip(mine, mine[1:]):
+            assert end <= start
+        if mine:
+            assert min(f[3] for f in mine) == min(ends)
+        # Whatever else matches overlaps a span that is reported.
+        longest = len(notice.text) + notice.errors
+        for end in possible:
+            assert any(s < end and end - longest < e for _, s, e, *_ in mine)
+
+
+OWN = [n for k, n in enumerate(licenses.NOTICES) if n.label not in {m.label for m in licenses.NOTICES[:k]}]
+
+
+@pytest.mark.parametrize("chunk", [7, 64, 1 << 20])
+def test_license_spans_equal_a_plain_search(monkeypatch, chunk):
+    import random
+
+    monkeypatch.setattr(licenses, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    scanner = licenses.Scanner(OWN)
+    for _ in range(25):
+        text = ""
+        for _ in range(rng.randrange(6)):
+            notice = rng.choice(OWN)
+            letters = list(notice.text)
+            for _ in range(rng.randrange(notice.errors + 3)):
+                at = rng.randrange(len(letters))
+                kind = rng.randrange(3)
+                letters[at : at + (kind != 1)] = rng.choice(["e", "é", " ", "日"]) if kind else ""
+            text += "".join(letters) + rng.choice(["", " ", ". And Then é ", "license "])
+        check_spans(text, scanner, OWN)
+
+
+def test_license_query_reports_the_spans_of_its_labels(spark, sf):
+    for r in QUERIES["op8_license_scan"](spark, sf).collect():
+        labels = {s["label"] for s in json.loads(r["spans"])}
+        assert ",".join(sorted({*filter(None, r["base_labels"].split(",")), *labels})) == r["labels"]
+
+
+@pytest.mark.parametrize("unit", ["license ", "é licensed ", "licensed under cc by 4.0 ", "under the ", "a"])
+def test_license_scan_of_a_million_characters(unit):
+    start = time.perf_counter()
+    spans = licenses.Scanner().spans((unit * (1_000_000 // len(unit))).encode())
+    assert time.perf_counter() - start < 60
+    assert len([s for s in spans if s[0] == "cc-by"]) == (40_000 if "cc" in unit else 0)
+
+
 # Line dedup
 
 
