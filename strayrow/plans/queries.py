@@ -829,7 +829,8 @@ def profile_sketches(spark, sf_dir):
     """Sketches by file, merged, and whether each estimate is within 5 % of the count."""
     path, store = new_path(spark, "lineitem"), new_path(spark, "sketches")
     lines = table(spark, sf_dir, "lineitem")
-    lines.repartition(4).write.parquet(path)
+    # A file for each part of the scan, at least four: no task writes more than such a part.
+    lines.repartition(max(4, lines.rdd.getNumPartitions())).write.parquet(path)
     merged = sketches.merged_profile(sketches.sketch_new_files(spark, f"{path}/*.parquet", store))
     counted = profiling.column_profile(lines).select("column_name", F.col("distinct").alias("counted"))
     close = F.abs(F.col("distinct") - F.col("counted")) <= F.col("counted") * 0.05

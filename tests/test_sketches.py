@@ -89,3 +89,28 @@ def test_scan_of_known_files_is_left_out(spark, rows):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "a long, b string")
     assert as_rows(sketched_profile(empty)) == []
+
+
+def test_profiled_files_are_as_many_as_the_parts_of_the_scan(spark, tmp_path, monkeypatch):
+    from strayrow.operators import sketches
+    from strayrow.plans.queries import QUERIES
+
+    lines = spark.range(900).select("id", (F.col("id") % 5).alias("few"))
+    lines.repartition(9).write.parquet(str(tmp_path / "lineitem.parquet"))
+    seen = []
+
+    def counting(spark, path, store):
+        seen.append(len(spark.read.parquet(path).inputFiles()))
+        return sketch_new_files(spark, path, store)
+
+    monkeypatch.setattr(sketches, "sketch_new_files", counting)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size, files in (("1k", 9), (before, 4)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            parts = max(4, spark.read.parquet(str(tmp_path / "lineitem.parquet")).rdd.getNumPartitions())
+            profile = QUERIES["profile_sketches"](spark, str(tmp_path)).orderBy("position").collect()
+            assert parts >= files and seen.pop() == parts
+            assert [(r["total"], r["distinct"], r["estimate_is_close"]) for r in profile] == [(900, 900, True), (900, 5, True)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
