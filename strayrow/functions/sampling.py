@@ -105,7 +105,9 @@ def sample_rows(
     total = df.count() if total is None else total
     if total <= n:
         return df
-    hashed = df.withColumn("_u", row_hash(df, key, seed))
+    # Filters are not pushed below the explode: the hash repeats its parts, which a projection
+    # computes once, but a filter anew each time, in code too long to be compiled.
+    hashed = df.withColumn("_h", row_hash(df, key, seed)).withColumn("_u", F.explode(F.array("_h"))).drop("_h")
     ties = [F.col("_u"), *[col(k) for k in key or []]]
     if n <= TOP_K_ROWS:
         # Six standard deviations of slack: the filter practically never keeps too few. A key

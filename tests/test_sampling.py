@@ -1,4 +1,6 @@
 import datetime
+import io
+from contextlib import redirect_stdout
 
 import numpy as np
 import pytest
@@ -51,3 +53,14 @@ def test_keys_of_all_types(spark):
         drawn = sample_rows(df, 60, key)
         assert drawn.count() == 60
         assert {r["id"] for r in drawn.collect()} == {r["id"] for r in sample_rows(df.repartition(7), 60, key).collect()}
+
+
+def test_the_hash_is_computed_in_a_projection_not_in_filters(spark):
+    df = spark.range(5_000).select("id", (F.col("id") % 7).alias("line"), F.lit(1).alias("a.b"))
+    drawn = sample_rows(df, 100, ["id", "line"])
+    text = io.StringIO()
+    with redirect_stdout(text):
+        drawn.explain("formatted")
+    conditions = [line for line in text.getvalue().splitlines() if line.startswith("Condition")]
+    assert conditions and not any("%" in line or "pmod" in line for line in conditions)
+    assert drawn.columns == df.columns and drawn.count() == 100
