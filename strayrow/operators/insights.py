@@ -11,7 +11,8 @@ from strayrow.functions.sampling import sample_rows
 
 
 def _rate(part: Column | str, whole: Column | str) -> Column:
-    return F.coalesce(F.try_divide(part, whole) * 100, F.lit(0.0))
+    part = F.col(part) if isinstance(part, str) else part
+    return F.coalesce(F.try_divide(part * 100, whole), F.lit(0.0))
 
 
 def summary(df: DataFrame, method: str, threshold_display: str | None = None) -> DataFrame:
