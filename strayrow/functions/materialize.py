@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+#: Rows of a slim table that one task reads, at most.
+SLIM_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,6 +65,12 @@ class Scratch:
         df.write.parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
+    def keep_slim(self, df: DataFrame, name: str) -> DataFrame:
+        """The same for rows of a few numbers: later steps read up to SLIM_ROWS of them in a task, so
+        that the many steps of a loop over a small table do not leave as many files each."""
+        kept = self.keep(df, name)
+        return kept.coalesce(1 + kept.count() // SLIM_ROWS)
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
         jvm = self._spark.sparkContext._jvm

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strayrow.functions.materialize import pin
+from strayrow.functions.materialize import Scratch
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,11 +13,14 @@ def components(links: DataFrame) -> DataFrame:
 
     ``links`` has the columns ``a`` and ``b``; direction, order and repetitions do not matter.
     Every round takes the smallest label among the neighbours and then the label of that label,
-    so labels travel paths of doubling length. Each round's labels are cut from their lineage.
+    so labels travel paths of doubling length. Each round's labels are written, those before dropped.
     """
+    scratch = Scratch(links.sparkSession, "components")
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = pin(both.where("a <> b").distinct())
-    labels = pin(edges.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")))
+    edges = scratch.keep_slim(both.where("a <> b").distinct(), "edges")
+    parts = edges.rdd.getNumPartitions()
+    first = edges.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component"))
+    labels, done = scratch.keep_slim(first.coalesce(parts), "0"), 0
     while True:
         offered = (
             edges.join(labels.withColumnRenamed("node", "b"), "b")
@@ -28,11 +31,12 @@ def components(links: DataFrame) -> DataFrame:
             "node", F.col("component").alias("old"), F.least("component", "offer").alias("near")
         )
         of_label = labels.select(F.col("node").alias("near"), F.col("component").alias("jump"))
-        new = pin(
-            nearer.join(of_label, "near").select(
-                "node", F.least("near", "jump").alias("component"), "old"
-            )
+        found = nearer.join(of_label, "near").select(
+            "node", F.least("near", "jump").alias("component"), "old"
         )
-        labels = new.select("node", "component")
+        new = scratch.keep_slim(found.coalesce(parts), str(done + 1))
+        scratch.drop(str(done))
+        labels, done = new.select("node", "component"), done + 1
         if new.where(F.col("component") != F.col("old")).isEmpty():
+            scratch.drop("edges")
             return labels

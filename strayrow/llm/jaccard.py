@@ -87,9 +87,12 @@ class Bands:
         self.extra = [d // 8 for d in self.differ]
         self.classes = [d + 1 + s + x for d, s, x in zip(self.differ, self.spare, self.extra)]
 
+    def own(self, sizes):
+        return np.searchsorted(self.edges, sizes, "right") - 1
+
     def of(self, size: int) -> list[int]:
         """The band of a size and those of larger partners."""
-        first = int(np.searchsorted(self.edges, size, "right")) - 1
+        first = int(self.own(size))
         largest = size * self.den // self.num
         last = int(np.searchsorted(self.edges, largest, "right")) - 1
         return list(range(first, last + 1))
@@ -269,14 +272,20 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _across(rows: DataFrame, num: int, den: int, best: bool) -> DataFrame:
-    """Pairs of nodes of different components in one tile that bitmaps do not exclude, with the
-    components (the smaller first) and the similarity that the bitmaps leave possible; with
-    ``best`` only the most similar pair of every two components. Tiles repeat each other's pairs.
+    """Pairs of nodes of different components in one tile that bitmaps do not exclude.
+
+    With ``best`` the most similar pair of every two components, with the components (the smaller
+    first) and the similarity that the bitmaps leave possible; else a row for each node, with its
+    component and its partners (node, component). Tiles repeat each other's pairs, but only those of
+    the larger node's own band have them.
 
     ``rows``: key, lo, hi (blocks of the tile), block, node, component, n, bits.
     """
 
-    def pairs(nodes, parts, sizes, blocks, bits) -> list[np.ndarray]:
+    bands = Bands(num, den)
+
+    def pairs(key, nodes, parts, sizes, blocks, bits) -> list[np.ndarray]:
+        own = bands.own(sizes) == key & BAND_MASK
         width = min(len(x) for x in bits)
         words = np.stack([folded(x, width) for x in bits])
         split = len(set(blocks.tolist())) > 1
@@ -289,11 +298,14 @@ def _across(rows: DataFrame, num: int, den: int, best: bool) -> DataFrame:
             a, b = sizes[mine, None], sizes[None]
             most = np.minimum(a - only_a, b - only_b)
             good = (most * (num + den) >= num * (a + b)) & (parts[mine, None] != parts[None])
-            good &= nodes[mine, None] < nodes[None]
+            good &= (nodes[mine, None] < nodes[None]) & (own[mine, None] | own[None])
             if split:
                 good &= blocks[mine, None] != blocks[None]
             i, j = np.nonzero(good)
             x, y = parts[i + at], parts[j]
+            if not best:
+                found.append((nodes[i + at], x, nodes[j], y))
+                continue
             bound = most[i, j] / (a + b - most)[i, j]
             found.append((nodes[i + at], nodes[j], np.minimum(x, y), np.maximum(x, y), bound))
         found = [np.concatenate(x) for x in zip(*found)]
@@ -313,8 +325,16 @@ def _across(rows: DataFrame, num: int, den: int, best: bool) -> DataFrame:
             nodes, parts, sizes, blocks = (
                 np.array([r[k] for r in held], np.int64) for k in range(4)
             )
-            found = pairs(nodes, parts, sizes, blocks, [np.frombuffer(r[4], "<u8") for r in held])
-            return pa.RecordBatch.from_arrays(list(map(pa.array, found)), names=["a", "b", "from", "to", "bound"])
+            found = pairs(current[0], nodes, parts, sizes, blocks, [np.frombuffer(r[4], "<u8") for r in held])
+            if best:
+                return pa.RecordBatch.from_arrays(list(map(pa.array, found)), names=["a", "b", "from", "to", "bound"])
+            a, x, b, y = found  # by the place of the node a
+            starts = np.flatnonzero(np.concatenate([np.ones(len(a[:1]), bool), a[1:] != a[:-1]]))
+            partners = pa.StructArray.from_arrays([pa.array(b), pa.array(y)], names=["b", "y"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(a)), pa.int32()), partners)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(a[starts]), pa.array(x[starts]), lists], names=["a", "x", "partners"]
+            )
 
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
@@ -330,7 +350,9 @@ def _across(rows: DataFrame, num: int, den: int, best: bool) -> DataFrame:
 
     dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     columns = dealt.select("key", "lo", "hi", "node", "component", "n", "block", "bits")
-    return columns.mapInArrow(run, "a long, b long, from long, to long, bound double")
+    if best:
+        return columns.mapInArrow(run, "a long, b long, from long, to long, bound double")
+    return columns.mapInArrow(run, "a long, x long, partners array<struct<b: long, y: long>>")
 
 
 def _renamed(labels: DataFrame, names: DataFrame) -> DataFrame:
@@ -353,10 +375,10 @@ def _sharing_enough(tiles: DataFrame, nodes: DataFrame, bands: Bands) -> DataFra
 
 
 def _tiles_of_components(
-    shared: DataFrame, labels: DataFrame, sets: DataFrame, nodes: DataFrame, bands: Bands, best: bool
+    shared: DataFrame, labels: DataFrame, sets: DataFrame, nodes: DataFrame, bands: Bands, of: DataFrame | None
 ) -> DataFrame:
-    """What ``_across`` reads: tiles with several components, in blocks of bounded size; with
-    ``best`` one node for each component, another one in each tile.
+    """What ``_across`` reads: tiles with several components, in blocks of bounded size; with ``of``
+    only the nodes of these components.
 
     A pair that is still apart and not yet decided shares only tiles of several components with
     three nodes or more, and as many as any pair; nodes with fewer of those go.
@@ -376,10 +398,9 @@ def _tiles_of_components(
         "key", "node", F.coalesce("component", "node").alias("component")
     )
     apart = mixed_tiles(labelled, 3).select("key", "node", "component")
+    if of is not None:
+        apart = apart.join(of, "component", "left_semi").select(apart.columns)
     known = mixed_tiles(_sharing_enough(apart, nodes, bands), 2)
-    if best:
-        one = F.min_by("node", F.xxhash64("key", "node")).alias("node")
-        known = known.groupBy("key", "component").agg(one).withColumn("count", ends["count"])
     order = Window.partitionBy("key").orderBy("node")
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     return (
@@ -394,24 +415,38 @@ def _tiles_of_components(
 
 
 def _join_components(
-    labels: DataFrame, tiles: DataFrame, sets: DataFrame, num: int, den: int, best: bool
-) -> DataFrame:
-    """Labels after the pairs of ``_across`` have been decided."""
+    labels: DataFrame, tiles: DataFrame, sets: DataFrame, num: int, den: int, best: bool, scratch: Scratch
+) -> tuple[DataFrame, DataFrame]:
+    """Labels after the pairs of ``_across`` have been decided, and the components that are still
+    apart from another one with which they have such a pair."""
     found = _across(tiles, num, den, best)
     if best:
         top = found.groupBy("from", "to").agg(F.max(F.struct("bound", "a", "b")).alias("p"))
         pairs = top.select("p.a", "p.b", "from", "to")
     else:
-        pairs = found.select("a", "b", "from", "to").distinct()
-    joined = pin(
-        _linked(pin(pairs), sets, num, den).select(F.col("from").alias("a"), F.col("to").alias("b")).distinct()
+        partners = F.array_distinct(F.flatten(F.collect_list("partners")))
+        once = found.groupBy("a", "x").agg(F.explode(partners).alias("p")).select("a", "x", "p.b", "p.y")
+        pairs = once.select("a", "b", F.least("x", "y").alias("from"), F.greatest("x", "y").alias("to"))
+    name = "best" if best else "all"
+    pairs = scratch.keep(pairs, f"pairs-{name}")
+    linked = _linked(pairs, sets, num, den)
+    joined = scratch.keep_slim(
+        linked.select(F.col("from").alias("a"), F.col("to").alias("b")).distinct(), f"joined-{name}"
     )
-    if joined.isEmpty():
-        return labels
-    names = components(joined)
-    # Nodes without a link so far are components of their own.
-    lone = names.select("node").join(labels.select("node"), "node", "left_anti")
-    return pin(_renamed(labels.unionByName(lone.withColumn("component", F.col("node"))), names))
+    both = pairs.select("from", "to").distinct()
+    if not joined.isEmpty():
+        names = components(joined)
+        # Nodes without a link so far are components of their own.
+        lone = names.select("node").join(labels.select("node"), "node", "left_anti")
+        every = labels.unionByName(lone.withColumn("component", F.col("node")))
+        labels = scratch.keep_slim(_renamed(every, names), f"labels-{name}")
+        for side in ("from", "to"):
+            of_side = names.select(F.col("node").alias(side), F.col("component").alias("name"))
+            both = both.join(of_side, side, "left").withColumn(side, F.coalesce("name", side)).drop("name")
+    ends = F.explode(F.array("from", "to")).alias("component")
+    still = scratch.keep_slim(both.where(F.col("from") != F.col("to")).select(ends).distinct(), f"open-{name}")
+    scratch.drop(f"pairs-{name}")
+    return labels, still
 
 
 def similar_groups(
@@ -458,10 +493,13 @@ def similar_groups(
     links = pin(_linked(_possible(first, sets, num, den), sets, num, den))
     labels = components(links)
 
-    # First the best pair of every two components; then all pairs that are still apart.
-    for best in (True, False):
-        tiles = _tiles_of_components(shared, labels, sets, nodes, bands, best)
-        labels = _join_components(labels, tiles, sets, num, den, best)
+    # First the best pair of every two components; then all pairs of those that are still apart.
+    # A pair that was not a candidate in the first round is none in the second.
+    tiles = _tiles_of_components(shared, labels, sets, nodes, bands, None)
+    labels, still = _join_components(labels, tiles, sets, num, den, True, scratch)
+    if not still.isEmpty():
+        tiles = _tiles_of_components(shared, labels, sets, nodes, bands, still)
+        labels, _ = _join_components(labels, tiles, sets, num, den, False, scratch)
 
     named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))

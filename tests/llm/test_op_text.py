@@ -511,3 +511,70 @@ def test_query_equals_sql(spark, sf, name):
     from strayrow.llm.oracles import SQL
 
     assert oracle.differences(QUERIES[name](spark, sf), oracle.connect(sf), SQL[name]) == []
+
+
+def test_nodes_of_a_large_loose_group_are_written_once_for_each_tile(spark, monkeypatch):
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from strayrow.functions.materialize import pin
+    from strayrow.llm import jaccard
+
+    draw = random.Random(5)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for n in range(140):
+        words = list(base)
+        for k in range(draw.randint(1, 3)):
+            words[draw.randrange(100)] = f"x{n}y{k}"
+        texts.append(" ".join(words))
+    sets = [jaccard.shingles(t.encode(), 5) for t in texts]
+    label = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            both = len(np.intersect1d(x, y))
+            if 5 * both >= 4 * (len(x) + len(y) - both) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if v == high else v for v in label]
+    across, seen = jaccard._across, []
+
+    def counted(rows, num, den, best):
+        rows = pin(rows)
+        out = pin(across(rows, num, den, best))
+        seen.append((best, rows.count(), out.count()))
+        return out
+
+    # No first links, so that the tiles hold all nodes as components of their own.
+    monkeypatch.setattr(jaccard, "_across", counted)
+    monkeypatch.setattr(jaccard, "_possible", lambda pairs, *_: pairs.where(F.lit(False)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(docs).collect()}
+    assert found == dict(enumerate(label))
+    assert [best for best, *_ in seen][0] and all(out <= rows for best, rows, out in seen if not best)
+
+
+def test_components_of_few_links_leave_few_files(spark, monkeypatch):
+    from strayrow.functions.materialize import Scratch
+    from strayrow.llm import components as module
+
+    kept, keep = [], Scratch.keep
+
+    def watched(self, df, name):
+        out = keep(self, df, name)
+        kept.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", watched)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 40)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        links = spark.range(300).selectExpr("id + 1 AS a", "id AS b").where("a % 50 <> 0")
+        found = {r["node"]: r["component"] for r in module.components(links).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {n: n // 50 * 50 for n in range(301) if n != 300}
+    assert len(kept) > 2 and all(files == 1 for name, files in kept if name != "edges")
