@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of a slim table that one task reads, at most.
 SLIM_ROWS = 100_000
 
@@ -48,6 +51,22 @@ def pin_table(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside hand Python at most ``rows`` rows at once; for wide rows.
+
+    The setting is the session's and is put back; a smaller one stays. It binds only what is written
+    inside, not frames that are returned.
+    """
+    before = spark.conf.get(_BATCH)
+    if not 0 < int(before) <= rows:  # 0 and less: no limit
+        spark.conf.set(_BATCH, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 class Scratch:
     """Tables of one run in a folder of their own below the shared one, dropped by name.
 

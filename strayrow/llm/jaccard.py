@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strayrow.functions.materialize import Scratch, pin
+from strayrow.functions.materialize import Scratch, pin, small_batches
 from strayrow.functions.skew import attach
 from strayrow.llm.components import components
 from strayrow.llm.texts import give_back, raw
@@ -44,6 +44,8 @@ SIMILARITY = (4, 5)
 BROADCAST_IDS = 1_000_000
 BLOCK = 4_096
 BAND_MASK = 127
+#: Rows that a Python task holds at once; a row can carry two texts' shingles, 8 bytes for each.
+BATCH_ROWS = 1_000
 #: Rounds of taking out nodes that share too few tiles.
 ROUNDS = 2
 
@@ -461,6 +463,14 @@ def similar_groups(
     Rows are linked when their shingle sets' Jaccard similarity is at least
     ``similarity[0] / similarity[1]``.
     """
+    # Every Python step below is written before this returns.
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        return _grouped(docs, shingle, similarity, id_col, text_col)
+
+
+def _grouped(
+    docs: DataFrame, shingle: int, similarity: tuple[int, int], id_col: str, text_col: str
+) -> DataFrame:
     num, den = similarity
     # Each table goes when its successor is written; only the slim rows and their groups stay.
     scratch = Scratch(docs.sparkSession, "jaccard")

@@ -128,6 +128,25 @@ def test_bitmaps_bound_the_overlap(a, b):
     assert true <= len(y) - int(np.bitwise_count(q & ~p).sum())
 
 
+def test_python_holds_few_rows_at_once(spark, monkeypatch):
+    """Rows with two texts' shingles come in small batches; the setting is put back."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(setting), []
+    keep, pin = jaccard.Scratch.keep, jaccard.pin
+
+    def noted(write):
+        return lambda *args: (seen.append(int(spark.conf.get(setting))), write(*args))[1]
+
+    monkeypatch.setattr(jaccard.Scratch, "keep", noted(keep))
+    monkeypatch.setattr(jaccard, "pin", noted(pin))
+    rows = [(k, f"one two three four five six seven eight nine {k % 3}") for k in range(12)]
+    groups = jaccard.similar_groups(docs(spark, rows), 2, (1, 2))
+    assert seen and set(seen) == {jaccard.BATCH_ROWS}
+    assert "MapInArrow" not in groups._jdf.queryExecution().toString()
+    assert spark.conf.get(setting) == before
+    assert {r["component_id"] for r in groups.collect()} == {0}
+
+
 def test_keep_one_of_each_group(spark):
     rows = copies(5)
     rows += [(None, rows[0][1]), (500, None), (501, ""), (rows[1][0], rows[1][1]), (rows[1][0], rows[1][1])]
