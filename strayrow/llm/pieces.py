@@ -5,16 +5,16 @@ The piece table (piece, id, score) is a DataFrame. Texts are written as Sentence
 follows another character, around line ends and, if no piece mixes them, between letters and other
 characters. Every distinct unit is segmented once: all its substrings up to the longest piece are
 exploded and joined to the piece table; the matches are the edges of the unit's lattice; they are
-grouped by unit, and Spark's ``aggregate`` folds them from left to right (Viterbi), keeping for each
-place the best score and its last piece. Of equal scores the one with the longer last piece wins.
+sorted by unit and folded from left to right (Viterbi), the edges to one place in all units of a batch
+at once, keeping for each place the best score and its last piece. Of equal scores the one with the longer last piece wins.
 A character without a piece is an edge at a penalty and becomes the pieces of its UTF-8 bytes.
 
-Texts do not travel. A task turns the texts of its partition into numbers of their distinct units, by
-rank of their frequency; the units are grouped with the list of the partitions that hold them,
-segmented once, and sent back packed by partition, to meet the compressed numbers (made again from
-the input) of the partition. So the input must give equal partitions each time (files do; write
-other inputs first); a checksum of every partition's units is compared, and a difference is an error.
-A unit's list has one entry for each partition at most.
+Texts do not travel. A task turns the texts of its partition, in blocks of bounded bytes, into numbers
+of the block's distinct units, by rank of their frequency; the units are grouped with the list of the
+blocks that hold them, segmented once, and sent back packed by block, to meet the compressed numbers
+(made again from the input) of the block. So the input must give equal partitions each time (files do;
+write other inputs first); a checksum of every block's units is compared, and a difference is an error.
+A unit's list has one entry for each block at most.
 
 A model of either kind gives the piece table. The scores of a byte-pair model are ranks; the result
 is then the segmentation with the best sum of scores, as the library gives for the same table as a
@@ -48,6 +48,13 @@ from strayrow.llm.tokens import gather
 SPACE = "▁"
 LONGEST = 48
 PENALTY = 10.0
+#: Bytes of text in a block, which has its own numbers of units, and in what is cut into units at once.
+BLOCK = 16 << 20
+SLICE = 4 << 20
+#: Edges that are folded at once, about.
+EDGES = 250_000
+#: Rows whose ids or texts are made at once.
+ROWS = 500
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PURE = re.compile(f"{SPACE}*[{_LETTER}]*|[^{_LETTER}]*")
@@ -122,133 +129,137 @@ def viterbi(unit: str, table: dict[str, tuple[int, float]], longest: int, unknow
     return [i for part in reversed(ids) for i in part]
 
 
-def segment_units(units: DataFrame, table: PieceTable, keep: str) -> DataFrame:
-    """``unit``, ``ids`` and the column ``keep`` of distinct units; the empty one has no ids."""
-    spark = units.sparkSession
+def lattices(units: DataFrame, table: PieceTable, keep: str) -> DataFrame:
+    """The edges of every distinct unit's lattice: ``number`` of the unit, ``edge``, and with one row of
+    each unit ``unit`` and the column ``keep``. Rows of a unit are in one partition, one after the other
+    and by edge. Units without a lattice (empty or too long) have a row without an edge."""
     # The piece table is bounded by the model, so it may be broadcast.
-    pieces = F.broadcast(table.frame(spark))
-    n = F.length("unit")
+    pieces = F.broadcast(table.frame(units.sparkSession))
+    n, start, size = F.length("unit"), F.col("start"), F.col("size")
+    none = F.array(F.lit(0))
+    sizes = F.sequence(F.lit(1), F.least(F.lit(table.longest), n - start + 1))
+    carrier = (start <= 1) & (size <= 1)  # the edge of the first character, or the row without one
     substrings = (
-        units.where(n.between(1, LONGEST))
-        .select("unit", keep, F.explode(F.sequence(F.lit(1), n)).alias("start"))
-        .select(
-            "unit",
-            F.when(F.col("start") == 1, F.col(keep)).alias(keep),
-            "start",
-            F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), n - F.col("start") + 1))).alias("size"),
+        units.select("unit", keep, F.monotonically_increasing_id().alias("number"))
+        .withColumn(
+            "start", F.explode(F.when(n.between(1, LONGEST), F.sequence(F.lit(1), n)).otherwise(none))
         )
         .select(
-            "unit",
-            # Carried by one edge, the one of the first character.
-            F.when(F.col("size") == 1, F.col(keep)).alias(keep),
-            "start",
-            "size",
-            F.substring("unit", F.col("start"), F.col("size")).alias("piece"),
+            "number", "unit", F.when(start <= 1, F.col(keep)).alias(keep), "start",
+            F.explode(F.when(start > 0, sizes).otherwise(none)).alias("size"),
         )
-    )
-    # An edge is one number: end, start, and id + 1 (0 for a character without a piece).
-    edges = (
-        substrings.join(pieces, "piece", "left")
-        .where(F.col("piece_id").isNotNull() | (F.col("size") == 1))
         .select(
-            "unit",
-            F.xxhash64("unit").alias("hash"),  # sorts faster than the unit
-            keep,
-            (
-                F.shiftleft((F.col("start") + F.col("size") - 1).cast("long"), 40)
-                + F.shiftleft((F.col("start") - 1).cast("long"), 24)
-                + F.coalesce(F.col("piece_id") + 1, F.lit(0))
-            ).alias("edge"),
+            "number", "start", "size", F.substring("unit", start, size).alias("piece"),
+            F.when(carrier, F.col("unit")).alias("unit"), F.when(carrier, F.col(keep)).alias(keep),
         )
     )
-    lattices = edges.groupBy("hash", "unit").agg(
-        F.sort_array(F.collect_list("edge")).alias("edges"), F.first(keep, ignorenulls=True).alias(keep)
+    # An edge is one number: end, start, and id + 1 (0 for a character without a piece).
+    edge = (
+        F.shiftleft((start + size - 1).cast("long"), 40)
+        + F.shiftleft((start - 1).cast("long"), 24)
+        + F.coalesce(F.col("piece_id") + 1, F.lit(0))
     )
-    by_id = [table.unknown_score] * (max(table.ids, default=0) + 2)
-    for number, score in zip(table.ids, table.scores):
-        by_id[number + 1] = score
-    scores = F.split(F.lit(",".join(map(repr, by_id))), ",").cast("array<double>")  # folded once
-
-    end_of = lambda e: F.shiftright(e, 40).cast("int")
-    start_of = lambda e: F.shiftright(e, 24).bitwiseAND(0xFFFF).cast("int")
-    number_of = lambda e: e.bitwiseAND(0xFFFFFF).cast("int")
-    none = F.slice(F.array(F.lit(0).cast("long")), 1, 0)
-
-    def state(best, last, score, edge):
-        return F.struct(best.alias("best"), last.alias("last"), score.alias("score"), edge.alias("edge"))
-
-    def follow(s, edge):
-        """Edges come by end, then start. ``best`` and ``last`` hold the settled places, ``score``
-        and ``edge`` the one after them; the first edge to a new place settles that one, a better
-        edge to it replaces the one found."""
-        at, start, worth = F.size(s["best"]), start_of(edge), F.get(scores, number_of(edge))
-        onward = state(
-            F.concat(s["best"], F.array(s["score"])),
-            F.concat(s["last"], F.array(s["edge"])),
-            F.when(start == at, s["score"]).otherwise(F.get(s["best"], start)) + worth,
-            edge,
-        )
-        score = F.get(s["best"], start) + worth
-        better = state(s["best"], s["last"], score, edge)
-        return F.when(end_of(edge) > at, onward).when(score > s["score"], better).otherwise(s)
-
-    begin = state(F.slice(F.array(F.lit(0.0)), 1, 0), none, F.lit(0.0), F.lit(0).cast("long"))
-    folded = lattices.select(
-        "unit",
-        keep,
-        F.aggregate("edges", begin, follow, lambda s: F.concat(s["last"], F.array(s["edge"]))).alias("last"),
+    return (
+        substrings.join(pieces, "piece", "left")
+        .where(F.col("piece_id").isNotNull() | (size <= 1))
+        .select("number", F.when(start > 0, edge).alias("edge"), "unit", keep)
+        .sortWithinPartitions("number", "edge")
     )
 
-    def step_back(s, _):
-        edge = F.get(F.col("last"), s["at"])
-        return F.when(s["at"] == 0, s).otherwise(
-            F.struct(start_of(edge).alias("at"), F.concat(F.array(edge), s["path"]).alias("path"))
-        )
 
-    paths = folded.select(
-        "unit",
-        keep,
-        F.aggregate(
-            F.sequence(F.lit(1), F.length("unit")),
-            F.struct(F.length("unit").alias("at"), none.alias("path")),
-            step_back,
-            lambda s: s["path"],
-        ).alias("path"),
-    )
-    byte_ids = F.split(F.lit(",".join(map(str, table.byte_ids))), ",").cast("array<int>")
-
-    def spelled(edge):
-        """Ids of the bytes of the edge's one character."""
-        text = F.hex(F.encode(F.substring(F.col("unit"), start_of(edge) + 1, F.lit(1)), "UTF-8"))
-        return F.transform(
-            F.sequence(F.lit(1), F.length(text), F.lit(2)),
-            lambda k: F.get(byte_ids, F.conv(F.substring(text, k, F.lit(2)), 16, 10).cast("int")),
-        )
+class _Fold:
+    """Folds the lattices of many units at once, from left to right (Viterbi)."""
 
-    ids = F.when(
-        F.exists("path", lambda e: number_of(e) == 0),
-        F.flatten(
-            F.transform(
-                "path", lambda e: F.when(number_of(e) == 0, spelled(e)).otherwise(F.array(number_of(e) - 1))
-            )
-        ),
-    ).otherwise(F.transform("path", lambda e: number_of(e) - 1))
-    short = paths.select("unit", ids.alias("ids"), keep)
-
-    longest, unknown, byte_numbers = table.longest, table.unknown_score, table.byte_ids
-    known = dict(zip(table.pieces, zip(table.ids, table.scores)))
+    def __init__(self, table: PieceTable):
+        self.longest, self.unknown, self.byte_ids = table.longest, table.unknown_score, table.byte_ids
+        self.known = dict(zip(table.pieces, zip(table.ids, table.scores)))
+        self.scores = np.full(max(table.ids, default=0) + 2, table.unknown_score)
+        self.scores[np.array(table.ids, np.int64) + 1] = table.scores
 
-    def by_hand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, pa.Array]]:
+        """Of the rows of ``lattices``: units, their numbers of ids, the ids, and what is kept."""
+        held: list[pa.RecordBatch] = []
+        rows = 0
         for batch in batches:
-            found = [viterbi(u, known, longest, unknown, byte_numbers) for u in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.list_(pa.int32())), batch.column(1)],
-                names=["unit", "ids", keep],
-            )
-
-    others = units.where(~n.between(1, LONGEST)).select("unit", keep)
-    kind = dict(others.dtypes)[keep]
-    return short.unionByName(others.mapInArrow(by_hand, f"unit string, ids array<int>, {keep} {kind}"))
+            held.append(batch)
+            rows += len(batch)
+            if rows < EDGES:
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks()
+            number = whole["number"].to_numpy()
+            cut = int(np.searchsorted(number, number[-1]))  # the last unit may go on
+            if cut:
+                yield self._folded(whole.slice(0, cut))
+            held, rows = whole.slice(cut).to_batches(), len(whole) - cut
+        if rows:
+            yield self._folded(pa.Table.from_batches(held).combine_chunks())
+
+    def _folded(self, rows: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array]:
+        number = rows["number"].to_numpy()
+        carriers = rows.filter(pc.is_valid(rows["unit"])).combine_chunks()
+        if not np.array_equal(carriers["number"].to_numpy(), np.unique(number)):
+            raise RuntimeError("the rows of a unit are not together")
+        units, kept = (carriers[c].combine_chunks() for c in (2, 3))
+        real = pc.is_valid(rows["edge"]).to_numpy()
+        edge = rows["edge"].drop_null().to_numpy()
+        of = np.cumsum(np.diff(number, prepend=number[0]) > 0)[real]
+        place, last = self._paths(len(units), of, edge)
+        ids = last["number"] - 1
+        widths = np.ones(len(ids), np.int64)
+        spelled = []
+        for k in np.flatnonzero(ids < 0).tolist():
+            character = units[int(place[k])].as_py()[last["start"][k]]
+            spelled.append((k, [self.byte_ids[b] for b in character.encode()]))
+            widths[k] = len(spelled[-1][1])
+        flat, ends = np.repeat(ids, widths), np.cumsum(widths)
+        for k, bytes_of in spelled:
+            flat[ends[k] - widths[k] : ends[k]] = bytes_of
+        counts = np.bincount(place, widths, minlength=len(units)).astype(np.int64)
+        bare = np.flatnonzero(np.bincount(of, minlength=len(units)) == 0)
+        if len(bare):
+            return units, *self._with_bare(units, bare, counts, flat), kept
+        return units, counts, flat, kept
+
+    def _paths(self, n: int, of: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unit, and number and start of each edge on the best paths, by unit and place."""
+        end, start = edge >> 40, (edge >> 24) & 0xFFFF
+        order = np.argsort(end.astype(np.uint8), kind="stable")
+        of, end, start, number = (x[order] for x in (of, end, start, edge & 0xFFFFFF))
+        most = int(end[-1]) if len(end) else 0
+        best = np.zeros((most + 1, n))
+        last = np.zeros((most + 1, n), [("number", np.int64), ("start", np.int64)])
+        at = np.zeros(n, np.int64)
+        cuts = np.searchsorted(end, np.arange(1, most + 2))
+        for p, (a, b) in enumerate(zip(cuts, cuts[1:]), 1):
+            owner, score = of[a:b], best[start[a:b], of[a:b]] + self.scores[number[a:b]]
+            firsts = np.flatnonzero(np.diff(owner, prepend=-1))
+            top = np.maximum.reduceat(score, firsts)
+            # Of equal scores the first, which starts first.
+            equal = np.flatnonzero(score == np.repeat(top, np.diff(firsts, append=b - a)))
+            chosen = equal[np.flatnonzero(np.diff(owner[equal], prepend=-1))]
+            mine = owner[chosen]
+            best[p, mine], at[mine] = score[chosen], p
+            last["number"][p, mine], last["start"][p, mine] = number[a:b][chosen], start[a:b][chosen]
+        owners, steps = [np.zeros(0, np.int64)], [np.zeros(0, last.dtype)]
+        going = np.flatnonzero(at)
+        while len(going):
+            step = last[at[going], going]
+            owners.append(going)
+            steps.append(step)
+            at[going] = step["start"]
+            going = going[step["start"] > 0]
+        # The path was followed from its end.
+        owner, step = np.concatenate(owners[::-1]), np.concatenate(steps[::-1])
+        order = np.argsort(owner, kind="stable")
+        return owner[order], step[order]
+
+    def _with_bare(self, units: pa.Array, bare, counts, flat) -> tuple[np.ndarray, np.ndarray]:
+        """Adds the ids of the units without a lattice."""
+        parts = np.split(flat, np.cumsum(counts)[:-1])
+        for k in bare.tolist():
+            found = viterbi(units[k].as_py(), self.known, self.longest, self.unknown, self.byte_ids)
+            parts[k], counts[k] = np.array(found, np.int64), len(found)
+        return counts, np.concatenate(parts)
 
 
 def _units(texts: pa.Array, fine: bool) -> pa.ListArray:
@@ -269,13 +280,13 @@ def _units(texts: pa.Array, fine: bool) -> pa.ListArray:
 
 
 class _Block:
-    """The texts of one partition as numbers of its distinct units, the most frequent first."""
+    """Texts as numbers of their distinct units, the most frequent first."""
 
-    def __init__(self, batches: Iterator[pa.RecordBatch], fine: bool):
+    def __init__(self, slices: Iterator[tuple[pa.Array, pa.Array]], fine: bool):
         self.owners: list[pa.Array] = []
         held, codes, sizes, total = [pa.array([], pa.string())], [np.zeros(0, "<u4")], [np.zeros(0, "<u4")], 0
-        for batch in batches:
-            cut = _units(pc.fill_null(batch.column(1), ""), fine)
+        for owners, texts in slices:
+            cut = _units(texts, fine)
             offsets = cut.offsets.to_numpy()
             coded = cut.values.slice(int(offsets[0])).dictionary_encode()
             found = pc.index_in(coded.dictionary, value_set=pa.concat_arrays(held)).fill_null(-1)
@@ -284,8 +295,8 @@ class _Block:
             places[new] = total + np.arange(len(new))
             total += len(new)
             held.append(coded.dictionary.take(pa.array(new)))
-            self.owners.append(batch.column(0))
-            codes.append(places[coded.indices.to_numpy()].astype("<u4"))
+            self.owners.append(owners)
+            codes.append(places.astype("<u4")[coded.indices.to_numpy()])
             sizes.append(np.diff(offsets).astype("<u4"))
         codes, self.sizes = np.concatenate(codes), np.concatenate(sizes)
         order = np.argsort(-np.bincount(codes, minlength=total), kind="stable")
@@ -295,7 +306,43 @@ class _Block:
         self.units = pa.concat_arrays(held).take(pa.array(order))
 
     def checksum(self) -> int:
-        return _combined(np.array([zlib.crc32(u) for u in raw(self.units)], "<u4"))
+        return _checksum(_crcs(self.units), np.arange(len(self.units)))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts of rows with about ``size`` bytes of text."""
+    for batch in batches:
+        texts = pc.fill_null(batch.column(1), "")
+        share = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // size
+        cuts = np.flatnonzero(np.diff(share, prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], len(batch)]):
+            yield batch.column(0).slice(a, b - a), texts.slice(a, b - a)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], fine: bool, partition: int) -> Iterator[tuple[int, _Block]]:
+    """The texts of a partition in blocks of bounded bytes, numbered over all partitions."""
+    slices, number = _slices(batches, SLICE), partition << 32
+
+    def some(first) -> Iterator[tuple[pa.Array, pa.Array]]:
+        held, row = 0, first
+        while row is not None:
+            held += row[1].nbytes
+            yield row
+            row = next(slices, None) if held < BLOCK else None
+
+    while (first := next(slices, None)) is not None:
+        yield number, _Block(some(first), fine)
+        number += 1
+        give_back()
+
+
+def _crcs(units: pa.Array) -> np.ndarray:
+    return np.array([zlib.crc32(u) for u in raw(units)], np.int64)
+
+
+def _checksum(crcs: np.ndarray, places: np.ndarray) -> int:
+    """Of units and their places; that of several parts is the sum, modulo 2^32."""
+    return int((crcs * (2 * places.astype(np.int64) + 1) & 0xFFFFFFFF).sum()) & 0xFFFFFFFF
 
 
 def _pack(arrays) -> bytes:
@@ -327,103 +374,103 @@ def encode_pieces(
     kind = slim.dtypes[0][1]
 
     def units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = _Block(batches, fine).units
-        part = TaskContext.get().partitionId()
-        for at in range(0, len(units), 50_000):
-            some = units.slice(at, 50_000)
+        for part, block in _blocks(batches, fine, TaskContext.get().partitionId()):
+            units = block.units
+            del block
+            for at in range(0, len(units), 50_000):
+                some = units.slice(at, 50_000)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(some), part, np.int64)),
+                        pa.array(np.arange(at, at + len(some), dtype=np.int32)),
+                        some,
+                    ],
+                    names=["part", "place", "unit"],
+                )
+
+    def codes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, block in _blocks(batches, fine, TaskContext.get().partitionId()):
+            owners = pa.concat_arrays(block.owners)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(len(some), part, np.int32)),
-                    pa.array(np.arange(at, at + len(some), dtype=np.int32)),
-                    some,
+                    pa.array([part], pa.int64()),
+                    pa.array([len(block.units)], pa.int64()),
+                    pa.array([block.checksum()], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array([0, len(owners)], pa.int32()), owners),
+                    pa.array([_pack([block.codes, block.sizes])], pa.binary()),
                 ],
-                names=["part", "place", "unit"],
+                names=["part", "n_units", "checksum", "owners", "codes"],
             )
-
-    def codes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block(batches, fine)
-        if not block.owners:
-            return
-        owners = pa.concat_arrays(block.owners)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([TaskContext.get().partitionId()], pa.int32()),
-                pa.array([len(block.units)], pa.int64()),
-                pa.array([block.checksum()], pa.int64()),
-                pa.ListArray.from_arrays(pa.array([0, len(owners)], pa.int32()), owners),
-                pa.array([_pack([block.codes, block.sizes])], pa.binary()),
-            ],
-            names=["part", "n_units", "checksum", "owners", "codes"],
-        )
-        give_back()
+            del block, owners
 
     # Many partitions, since every unit grows to all its substrings before it is one row again.
     partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     units = (
-        slim.mapInArrow(units_of, "part int, place int, unit string")
+        slim.mapInArrow(units_of, "part long, place int, unit string")
         .repartition(partitions, "unit")
         .groupBy("unit")
         .agg(F.collect_list(F.struct("part", "place")).alias("places"))
     )
-    returned = (
-        segment_units(units, table, "places")
-        .select(F.explode("places").alias("p"), "unit", "ids")
-        .select("p.part", "p.place", F.crc32(F.encode("unit", "UTF-8")).alias("crc"), "ids")
-    )
+    fold = _Fold(table)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of one partition together: places, checksums and counts, then ids."""
-        for batch in batches:
-            part = batch.column(0).to_numpy()
-            order = np.argsort(part, kind="stable")
-            batch = batch.take(pa.array(order))
-            part = part[order]
+        """Ids by block: places of the units in the block, each less the one before, counts, ids and the
+        checksum of these units."""
+        for units, counts, flat, places in fold.run(batches):
+            crcs = _crcs(units)
+            starts = np.cumsum(counts) - counts
+            found = pc.list_flatten(places)
+            unit = pc.list_parent_indices(places).to_numpy()
+            part, place = (found.field(k).to_numpy() for k in (0, 1))
+            order = np.lexsort((place, part))
+            unit, part, place = unit[order], part[order], place[order]
             cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+            packs = []
             for a, b in zip(cuts, [*cuts[1:], len(part)]):
-                some = batch.slice(a, b - a)
-                arrays = [
-                    some.column(1),
-                    some.column(2),
-                    pc.list_value_length(some.column(3)),
-                    pc.list_flatten(some.column(3)),
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part[a]], pa.int32()), pa.array([_pack(arrays)], pa.binary())],
-                    names=["part", "data"],
-                )
+                own = unit[a:b]
+                ids = gather(flat, starts[own], counts[own])
+                check = _checksum(crcs[own], place[a:b])
+                packs.append(_pack([np.diff(place[a:b], prepend=0), counts[own], ids, [check]]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part[cuts]), pa.array(packs, pa.binary())], names=["part", "data"]
+            )
+        give_back()
 
-    back = returned.mapInArrow(packed, "part int, data binary")
+    back = lattices(units, table, "places").mapInArrow(packed, "part long, data binary")
     texts = slim.mapInArrow(
-        codes_of, f"part int, n_units long, checksum long, owners array<{kind}>, codes binary"
+        codes_of, f"part long, n_units long, checksum long, owners array<{kind}>, codes binary"
     )
 
     def put_together(packs: pa.Table, blocks: pa.Table) -> pa.Table:
-        """One partition: ids by place of the unit, then the ids of each text."""
+        """One block: ids by place of the unit, then the ids of each text."""
         parts = [_unpack(p) for p in packs["data"].to_pylist()]
         none = np.zeros(0, "<u4")
-        places, crcs, counts, flat = (np.concatenate([none, *(p[k] for p in parts)]) for k in range(4))
+        places = np.concatenate([none, *(np.cumsum(p[0], dtype="<u4") for p in parts)])
+        counts, flat = (np.concatenate([none, *(p[k] for p in parts)]) for k in (1, 2))
+        check = sum(int(p[3][0]) for p in parts) & 0xFFFFFFFF
         del parts
         order = np.argsort(places)
         found = [] if not blocks.num_rows else [(blocks["n_units"][0].as_py(), blocks["checksum"][0].as_py())]
-        if found != [(len(places), _combined(crcs[order]))]:
+        if found != [(len(places), check)] or not np.array_equal(places[order], np.arange(len(places))):
             raise RuntimeError("a partition changed between two reads; write the input first")
         starts = (np.cumsum(counts, dtype=np.int64) - counts)[order]
         counts = counts[order].astype(np.int64)
         codes, sizes = _unpack(blocks["codes"][0].as_py())
         ends = np.cumsum(sizes, dtype=np.int64)
-        ids, lengths = [], []
-        for a, b in zip((ends - sizes).tolist(), ends.tolist()):
-            own = codes[a:b]
-            text = gather(flat, starts[own], counts[own])
-            ids.append(text.tobytes())
-            lengths.append(len(text))
-        return pa.table(
-            {
-                id_col: blocks["owners"].combine_chunks().flatten(),
-                "n_pieces": pa.array(lengths, pa.int64()),
-                "ids": pa.array(ids, pa.binary()),
-            }
-        )
+        owners = blocks["owners"].combine_chunks().flatten()
+        tables = []
+        for at in range(0, len(sizes), ROWS):
+            ids, lengths = [], []
+            for size, end in zip(sizes[at : at + ROWS].tolist(), ends[at : at + ROWS].tolist()):
+                own = codes[end - size : end]
+                text = gather(flat, starts[own], counts[own])
+                ids.append(text.tobytes())
+                lengths.append(len(text))
+            columns = [owners.slice(at, ROWS), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())]
+            tables.append(pa.table(columns, names=[id_col, "n_pieces", "ids"]))
+        del codes, flat
+        give_back()
+        return pa.concat_tables(tables)
 
     return (
         back.groupBy("part")
@@ -432,10 +479,6 @@ def encode_pieces(
     )
 
 
-def _combined(crcs: np.ndarray) -> int:
-    return zlib.crc32(crcs.astype("<u4").tobytes())
-
-
 def decode_pieces(
     encoded: DataFrame, table: PieceTable, id_col: str = "doc_id", keep: Sequence[str | Column] = ()
 ) -> DataFrame:
@@ -451,15 +494,17 @@ def decode_pieces(
         flat = np.frombuffer(b"".join(spelled), np.uint8)
         lengths = np.array([len(s) for s in spelled])
         starts = np.cumsum(lengths) - lengths
-        for batch in batches:
-            texts = []
-            for data in batch.column(0).to_pylist():
-                ids = np.frombuffer(data or b"", "<u4")
-                text = gather(flat, starts[ids], lengths[ids]).tobytes().decode("utf-8", "replace")
-                texts.append(text.removeprefix(" "))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, pa.string()), *batch.columns[1:]], names=["text", *batch.schema.names[1:]]
-            )
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):
+                batch, texts = whole.slice(at, ROWS), []
+                for data in batch.column(0).to_pylist():
+                    ids = np.frombuffer(data or b"", "<u4")
+                    text = gather(flat, starts[ids], lengths[ids]).tobytes().decode("utf-8", "replace")
+                    texts.append(text.removeprefix(" "))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(texts, pa.string()), *batch.columns[1:]], names=["text", *batch.schema.names[1:]]
+                )
+        give_back()
 
     slim = encoded.select("ids", F.col(f"`{id_col}`"), *keep)
     kept = ", ".join(f"`{c}` {kind}" for c, kind in slim.dtypes[1:])

@@ -249,6 +249,42 @@ def test_lattice_in_many_partitions_and_batches(spark, table):
         assert r["n_pieces"] == len(r["ids"]) // 4
 
 
+def test_blocks_of_texts_are_bounded(monkeypatch):
+    monkeypatch.setattr(pieces, "BLOCK", 4_000)
+    monkeypatch.setattr(pieces, "SLICE", 1_000)
+    texts = [f"text {k} of many, " * (k % 9) for k in range(400)] + [None, "long " * 3_000, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    blocks = list(pieces._blocks(iter([batch.slice(0, 150), batch.slice(150)]), True, 3))
+    assert [number for number, _ in blocks] == [(3 << 32) + k for k in range(len(blocks))]
+    at = 0
+    for _, block in blocks:
+        owners = pa.concat_arrays(block.owners).to_pylist()
+        own = [texts[k] or "" for k in owners]
+        assert sum(map(len, own)) <= 10_000 or max(map(len, own)) > 10_000
+        ends = np.cumsum(block.sizes).tolist()
+        for owner, text, size, end in zip(owners, own, block.sizes.tolist(), ends):
+            assert owner == at
+            units = block.units.take(pa.array(block.codes[end - size : end])).to_pylist()
+            assert "".join(units) == (pieces.SPACE + text.replace(" ", pieces.SPACE) if text else "")
+            at += 1
+    assert at == len(texts) and len(blocks) > 5
+
+
+def test_lattices_folded_in_parts(spark, table, monkeypatch):
+    words = ["", "▁the", "▁hested", "q" * 90, "é☃x", "\U0001f600", "ab" * 20, *(f"▁un{k}like" for k in range(50))]
+    units = spark.createDataFrame([(w, [k]) for k, w in enumerate(words)], "unit string, places array<int>").coalesce(1)
+    rows = pieces.lattices(units, table, "places").toArrow()
+    known = dict(zip(table.pieces, zip(table.ids, table.scores)))
+    for edges in (1, 40, 10_000):
+        monkeypatch.setattr(pieces, "EDGES", edges)
+        got = {}
+        for found, counts, flat, places in pieces._Fold(table).run(iter(rows.to_batches(max_chunksize=7))):
+            ids = np.split(flat, np.cumsum(counts)[:-1])
+            got |= {u: (i.tolist(), p) for u, i, p in zip(found.to_pylist(), ids, places.to_pylist())}
+        for k, w in enumerate(words):
+            assert got[w] == (pieces.viterbi(w, known, table.longest, table.unknown_score, table.byte_ids), [k])
+
+
 def test_lattice_refuses_an_input_that_changes(spark, table):
     from pyspark.sql.functions import col, concat, lit, rand
 
