@@ -251,6 +251,7 @@ def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 most = min(a - np.bitwise_count(x & ~y).sum(dtype=np.int64), b - np.bitwise_count(y & ~x).sum(dtype=np.int64))
                 keep.append(bool(most * (num + den) >= num * (a + b)))
             yield batch.select([4, 5]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     sized = _with(pairs, sets, "n", "bits").where(
         F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
@@ -269,6 +270,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 keep.append(overlap(x, y) * (num + den) >= num * (len(x) + len(y)))
             own = list(range(2, batch.num_columns))
             yield batch.select(own).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return _with(pairs, sets, "shingles").mapInArrow(run, pairs.schema)
 
